@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from . import decontaminate, lines
 from .bpe import op3_byte_bpe
 from .media import op8_media
 from .sharding import op9_sharding
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_media": op8_media,
     "op9_sharding": op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": lines.SQL,
+    "op5_decontaminate": decontaminate.SQL,
+}
