@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines
+from . import decontaminate, jaccard, lines
 from .bpe import op3_byte_bpe
 from .media import op8_media
 from .sharding import op9_sharding
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
     "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": lines.SQL,
+    "op4_ngram_jaccard": jaccard.SQL,
     "op5_decontaminate": decontaminate.SQL,
 }
