@@ -6,6 +6,7 @@ from . import decontaminate, jaccard, lines
 from .bpe import op3_byte_bpe
 from .media import op8_media
 from .sharding import op9_sharding
+from .surrogates import op6_pii
 from .toxicity import op7_toxicity
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
     "op9_sharding": op9_sharding,
