@@ -23,6 +23,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.shipping import ship
+
 from .common import read
 
 #: UTF-8 bytes of text in a block, and words whose ids a worker keeps at most.
@@ -172,6 +174,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     null; repeated rows give repeated rows; an empty table gives none. Other columns are not read.
     """
     names = list(dict.fromkeys((id_col, *keep)))
+    ship(df.sparkSession)
     source = df.select(*names, df[text_col].alias("__text"))
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
     schema = f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids

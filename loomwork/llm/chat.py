@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from loomwork.shipping import ship
+
 from .common import checkpoint_dir, parts, read, written
 
 ROLES = ("system", "user", "assistant")
@@ -206,6 +208,7 @@ def parse_roles(lines: DataFrame, model: Model) -> DataFrame:
     Lines stand in the order (conv, turn, tie if there is one, line); repeated rows stay, in one order. A null text is a blank
     line. Blank lines take the role of what comes before them (in a conversation's begin, of its first line).
     An empty table gives no rows."""
+    ship(lines.sparkSession)
     spark = lines.sparkSession
     checkpoint_dir(spark)
     order = [c for c in ("conv", "turn", "tie", "line") if c in lines.columns]

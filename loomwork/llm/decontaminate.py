@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.shipping import ship
+
 from .common import ascii_lower, read, written
 
 WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 2_000_000, 32_000_000
@@ -138,6 +140,7 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     and empty texts have no words; repeated rows each have their result; with an empty benchmark nothing
     is hit. Columns of df with the new names are replaced. Null item ids count as the item ''.
     """
+    ship(df.sparkSession)
     spark = df.sparkSession
     new = "n_words long, hits array<array<long>>, items array<string>, longest long, longest_item string, longest_at long"
     added = [x.split()[0] for x in new.split(", ")]

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.shipping import ship
+
 from .common import read
 
 WIDTH, HEIGHT, FRAME_MS, BINS = 64, 64, 40, 32
@@ -195,6 +197,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a positive multiple of 64. Equal texts give equal values; repeated rows stay; an empty table gives
     no rows; other columns are not read.
     """
+    ship(df.sparkSession)
     source = df.select(df[id_col], df[text_col].alias("__text"))
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips {CLIP}" + ", media binary" * keep_media
     clip = pa.list_(pa.struct([("begin_ms", pa.int64()), ("end_ms", pa.int64()), ("frames", pa.int64()), ("mean", pa.float64())]))

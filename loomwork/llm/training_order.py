@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.shipping import ship
+
 from .common import parts, read, work_dir, written
 
 LENGTH, SHARD, ROUNDS = 1024, 2048, 6
@@ -166,6 +168,7 @@ def write_training_order(df: DataFrame, where: str, key: str, tokenizer: str, id
     Null and empty texts are one end-of-text id. Null ids and repeated rows stay. An empty table has no
     sequence and no file. Other columns are not read.
     """
+    ship(df.sparkSession)
     tokens = written(_encoded(df, id_col, text_col, tokenizer), "ids")
     last = tokens.groupBy("part").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n")).orderBy("part").collect()
     bases, total = {}, 0
