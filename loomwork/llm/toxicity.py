@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.shipping import ship
+
 from .common import read
 
 #: Bounds of the sample that the model is fitted on: rows and bytes of text of each label.
 TOXIC_ROWS, CLEAN_ROWS, TOXIC_BYTES, CLEAN_BYTES = 3000, 8000, 8_000_000, 20_000_000
 STRETCH, GRAMS, BUCKETS, WIDTH, EPOCHS, STEPS, BATCH, RATE, SEED = 32, (3, 4, 5), 1 << 18, 8, 6, 4000, 256, 0.3, 7
-THRESHOLD, KEPT_WORDS = 0.3, 400_000
+THRESHOLD, KEPT_WORDS, RUN_CHARS = 0.3, 300_000, 1_000_000
 
 find = re.compile(r"[^\W\d_]+").findall
 
@@ -67,6 +69,16 @@ class Model:
         return np.add.reduceat(self.odds[rows], np.cumsum(count) - count) / count
 
     def scores(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
+        out, at = [np.empty(0)], 0
+        while at < len(texts):  # the words of a bounded run of texts at a time
+            begin, held = at, 0
+            while at < len(texts) and held < RUN_CHARS:
+                held += len(texts[at])
+                at += 1
+            out.append(self._scores(texts[begin:at], known))
+        return np.concatenate(out)
+
+    def _scores(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
         split = [find(t.lower()) for t in texts]
         if len(known) > KEPT_WORDS:
             known.clear()
@@ -204,6 +216,7 @@ def score_toxicity(df: DataFrame, model: Model | None, text_col: str = "text", s
     names = [c for c in df.columns if c != score_col]
     if model is None:
         return df.select(*names, F.lit(0.0).alias(score_col))
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
