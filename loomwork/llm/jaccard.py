@@ -14,7 +14,9 @@ by a 64-bit key. The global order puts n-grams by document frequency, then hash.
 
 Candidates come in rounds. First every class in a posting list meets one leader of the list only; lists whose
 classes are then all in one component are done, so a large group of near copies costs as many pairs as
-it has members. Whatever is left meets in full, by a second rare n-gram in common or a shorter list.
+it has members. In what is left, the members of short lists meet in pairs. In a long list, those outside its
+largest component meet all others in blocks: a task holds two blocks of sets, counts their overlaps as
+matrices, again fragment by fragment, and returns no pairs but links between components.
 No link between components can be missed; links inside a component are not needed.
 """
 
@@ -29,13 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.shipping import ship
+
 from .common import LOWER, parts, read, release, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 #: Bytes of input for each part of the hash range, least number of parts, and n-grams of a block.
-PART_BYTES, LEAST_PARTS, BLOCK = 8 << 20, 64, 2_000_000
-KEPT_WORDS, ROUNDS = 400_000, 3
+PART_BYTES, LEAST_PARTS, BLOCK = 8 << 20, 64, 1_000_000
+#: Words that a worker keeps, rounds with leaders, longest list whose members meet in pairs, classes and n-grams of a matrix.
+KEPT_WORDS, ROUNDS, SHORT, SIDE, COLUMNS = 200_000, 3, 48, 512, 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _known: dict[bytes, int] = {}
@@ -247,8 +252,61 @@ def _fits(percent: int) -> F.Column:
     return (F.lit(100 + percent) * most >= percent * (F.col("na") + F.col("nb"))) & (F.col("a") != F.col("b"))
 
 
+def _cell_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links between components among two blocks of a list (or one with itself)."""
+    block = np.array(table.column("block"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    keys, n, c = (np.array(table.column(x)) for x in ("key", "n", "c"))
+    sets = table.column("hashes").combine_chunks()
+    offsets, values = np.array(sets.offsets), np.array(sets.values)
+    owner = np.repeat(np.arange(len(keys)), np.diff(offsets))
+    values = values[offsets[0] : offsets[-1]]
+    order, number = np.unique(values, return_inverse=True)
+    overlap = np.zeros((len(a), len(b)), dtype=np.int64)
+    at_a, at_b = np.full(len(keys), -1), np.full(len(keys), -1)
+    at_a[a], at_b[b] = np.arange(len(a)), np.arange(len(b))
+    for begin in range(0, len(order), COLUMNS):  # a fragment of the n-grams
+        own = (number >= begin) & (number < begin + COLUMNS)
+        x, y = np.zeros((len(a), COLUMNS), dtype=np.float32), np.zeros((len(b), COLUMNS), dtype=np.float32)
+        who, what = owner[own], number[own] - begin
+        for m, at in ((x, at_a), (y, at_b)):
+            inside = at[who] >= 0
+            m[at[who][inside], what[inside]] = 1
+        overlap += (x @ y.T).astype(np.int64)
+    total = n[a].astype(np.int64)[:, None] + n[b].astype(np.int64)[None]
+    good = (100 * overlap >= percent * (total - overlap)) & (c[a][:, None] != c[b][None])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for p, q in zip(*(v.tolist() for v in np.nonzero(good)), strict=True):
+        u, v = root(int(c[a[p]])), root(int(c[b[q]]))
+        if u != v:
+            parent[u] = v
+            out.append((int(keys[a[p]]), int(keys[b[q]])))
+    return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _long_lists(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each list in rest (h, key, n, c), found by blocks."""
+    largest = rest.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "c")).alias("g"), F.sum("m").alias("all"))
+    blocks = largest.select("h", F.col("g.c").alias("g"), F.ceil((F.col("all") - F.col("g.m")) / SIDE).cast("int").alias("ko"), F.ceil(F.col("g.m") / SIDE).cast("int").alias("kg"))
+    member = rest.join(blocks, "h").withColumn("out", F.col("c") != F.col("g"))
+    member = member.withColumn("block", F.when(F.col("out"), F.pmod(F.xxhash64("key"), F.col("ko"))).otherwise(F.col("ko") + F.pmod(F.xxhash64("key"), F.col("kg"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("ko") + F.col("kg")).otherwise(F.col("ko")) - 1)).alias("o")
+    cells = member.select("h", "key", "n", "c", "block", other).select("h", "key", "n", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    whole = classes.join(rest.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
+    return cells.join(whole, "key").groupBy("h", "i", "j").applyInArrow(lambda t: _cell_links(t, percent), "a long, b long")
+
+
 def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(id, key, n) of each row, and (key, component) of each class that links with another class."""
+    ship(df.sparkSession)
     spark = df.sparkSession
     bits = part_bits(df)
     blobs = f"id {df.schema[id_col].dataType.simpleString()}, {BLOB}"
@@ -264,20 +322,23 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefix = classes.where("prefix is not null").select("key", "n", F.explode(F.arrays_zip("prefix", "depths")).alias("p")).select(F.col("p.prefix").alias("h"), "key", "n", F.col("p.depths").alias("d"))
     prefix = written(prefix, "prefixes")
     links = spark.createDataFrame([], "a long, b long")
-    label = None
-    for turn in range(ROUNDS + 1):
-        open_ = prefix.withColumn("c", F.col("key"))
-        if label is not None:
-            open_ = prefix.join(label.withColumnRenamed("component", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
-        lists = open_.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("x"), "key", "n", "d", "c")).alias("l")).where("lo <> hi")
+    label = spark.createDataFrame([], "key long, component long")
+    for turn in range(ROUNDS + 2):
+        open_ = prefix.join(label, "key", "left").select("h", "key", "n", "d", F.coalesce("component", "key").alias("c"))
+        leader = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("x"), "key", "n", "d", "c")).alias("l")
+        lists = open_.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), leader).where("lo <> hi")
         if turn < ROUNDS:
             met = open_.join(lists, "h").where("c <> l.c").select(F.col("l.key").alias("a"), F.col("l.n").alias("na"), F.col("l.d").alias("da"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
         else:
-            rest = written(open_.join(lists.select("h"), "h"), "rest")
+            length = F.col("m") <= SHORT if turn == ROUNDS else F.col("m") > SHORT
+            rest = written(open_.join(lists.where(length).select("h"), "h"), "rest")
             one, two = (rest.select("h", *(F.col(c).alias(f"{c}{s}") for c in ("key", "n", "d", "c"))) for s in ("1", "2"))
             met = one.join(two, "h").where("key1 < key2 and c1 <> c2").select(F.col("key1").alias("a"), F.col("n1").alias("na"), F.col("d1").alias("da"), F.col("key2").alias("b"), F.col("n2").alias("nb"), F.col("d2").alias("db"))
-        pairs = met.where(_fits(percent)).select("a", "na", "b", "nb").distinct()
-        links = links.unionByName(written(_links(written(pairs, "pairs"), classes, percent), "links"))
+        if turn <= ROUNDS:
+            new = _links(written(met.where(_fits(percent)).select("a", "na", "b", "nb").distinct(), "pairs"), classes, percent)
+        else:
+            new = _long_lists(rest, classes, percent)
+        links = links.unionByName(written(new, "links"))
         label = written(components(links), "components")
     release(spark)
     return rows, label
@@ -300,6 +361,18 @@ def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     return whole.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """df with one row of each component: the one of least id (then least hash of id and text). Rows that agree in
+    both are one; texts without words are alone and stay."""
+    spot = [F.xxhash64(id_col, text_col), F.hash(id_col, text_col)]
+    names = df.columns
+    slim = df.select(F.struct(F.col(id_col).alias("id"), spot[0].alias("h"), spot[1].alias("g")).alias("id"), F.col(text_col).alias("text"))
+    linked = link_ngrams(slim, "id", "text", n, percent)
+    stay = linked.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id.h").alias("__h"), F.col("id.g").alias("__g")).distinct()
+    marked = df.withColumn("__h", spot[0]).withColumn("__g", spot[1])
+    return marked.join(stay, ["__h", "__g"], "left_semi").dropDuplicates(["__h", "__g"]).select(*names)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_ngrams(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
