@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import relational, text
+from .plans import mining, relational, text
 
-_MODULES = (relational, text)
+_MODULES = (relational, text, mining)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
