@@ -4,10 +4,10 @@ Texts are encoded once; the table of their ids fixes the stream (the tasks of th
 as they come, an end-of-text id after each). The stream is cut into sequences of one length, the
 last one filled up with end-of-text. A keyed Feistel network over the least even power of two that holds all sequence
 numbers, walked until it falls among them again, is a permutation: it gives every sequence its global
-slot without a table. Slots are range-partitioned; each range writes its shards, files of unsigned
+slot without a table. Slots are range-partitioned, the ranges being known beforehand; each range writes its shards, files of unsigned
 16-bit little-endian ids in which slot s of a shard begins at (s mod shard size) * stride. A file is written aside,
 then moved in place, so a task that is run again leaves the same bytes; shards that stand already
-are not written again.
+are not written again. The shards are written in WAVES, so that only a part of the ids stands in shuffle files at a time.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from loomwork.shipping import ship
 
-from .common import parts, read, work_dir, written
+from .common import parts, read, release, work_dir, written
 
-LENGTH, SHARD, ROUNDS = 1024, 2048, 6
+LENGTH, SHARD, ROUNDS, WAVES = 1024, 2048, 6, 3
 
 
 @lru_cache(maxsize=4)
@@ -86,8 +86,8 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     return df.select(df[id_col].alias("id"), df[text_col].alias("__text")).mapInArrow(run, f"part long, at long, id {kind}, ids binary")
 
 
-def _pieces(tokens: DataFrame, bases: dict[int, int], order: Permutation, length: int) -> DataFrame:
-    """slot, seq, start (in the sequence), ids, docs of each stretch of a sequence that stands in one batch."""
+def _pieces(tokens: DataFrame, bases: dict[int, int], order: Permutation, length: int, low: int, high: int) -> DataFrame:
+    """slot, seq, start (in the sequence), ids, docs of each stretch of a sequence that stands in one batch; slots from low to below high."""
     kind = tokens.schema["id"].dataType.simpleString()
     base = tokens.sparkSession.sparkContext.broadcast(bases)  # a number for each task of the scan
 
@@ -111,7 +111,9 @@ def _pieces(tokens: DataFrame, bases: dict[int, int], order: Permutation, length
                     place += take
                     end = place
             seq = np.array(seqs, dtype=np.int64)
-            columns = [pa.array(order(seq)), pa.array(seq), pa.array(starts, pa.int32()), pa.array([b"".join(d) for d in data], pa.binary()), pa.array(docs, pa.list_(batch.column("id").type))]
+            slot = order(seq)
+            own = np.flatnonzero((slot >= low) & (slot < high)).tolist()
+            columns = [pa.array(slot[own]), pa.array(seq[own]), pa.array([starts[i] for i in own], pa.int32()), pa.array([b"".join(data[i]) for i in own], pa.binary()), pa.array([docs[i] for i in own], pa.list_(batch.column("id").type))]
             yield pa.RecordBatch.from_arrays(columns, ["slot", "seq", "start", "ids", "docs"])
 
     return tokens.mapInArrow(run, f"slot long, seq long, start int, ids binary, docs array<{kind}>")
@@ -168,8 +170,9 @@ def write_training_order(df: DataFrame, where: str, key: str, tokenizer: str, id
     Null and empty texts are one end-of-text id. Null ids and repeated rows stay. An empty table has no
     sequence and no file. Other columns are not read.
     """
-    ship(df.sparkSession)
-    tokens = written(_encoded(df, id_col, text_col, tokenizer), "ids")
+    spark = df.sparkSession
+    ship(spark)
+    tokens = written(_encoded(df, id_col, text_col, tokenizer), "ids", "zstd")
     last = tokens.groupBy("part").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n")).orderBy("part").collect()
     bases, total = {}, 0
     for r in last:  # a row for each task of the scan
@@ -177,15 +180,26 @@ def write_training_order(df: DataFrame, where: str, key: str, tokenizer: str, id
         total += r.n
     size = -(-total // length)
     order = Permutation(key, max(1, size))
-    pieces = _pieces(tokens, bases, order, length).withColumn("shard", F.floor(F.col("slot") / shard_size))
-    shards = max(1, -(-size // shard_size))
-    ranged = pieces.repartitionByRange(min(shards, 4 * parts(df.sparkSession)), "shard").sortWithinPartitions("slot", "start").drop("shard")
     end = encoding(tokenizer).n_vocab
     fs_store, root = fs.FileSystem.from_uri(where)
     fs_store.create_dir(root, recursive=True)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"slot long, seq long, shard long, byte_offset long, n_tokens long, ids_sha256 string, doc_ids array<{kind}>"
-    return written(ranged.mapInArrow(lambda rows: _write(rows, where, length, shard_size, end), schema), "sequences")
+    shards, out = -(-size // shard_size), []
+    for wave in range(WAVES):
+        low, high = shards * wave // WAVES, shards * (wave + 1) // WAVES
+        if low == high and (shards or wave):
+            continue
+        n = max(1, min(high - low, 4 * parts(spark)))
+        pieces = _pieces(tokens, bases, order, length, low * shard_size, high * shard_size)
+        place = F.floor((F.floor(F.col("slot") / shard_size) - low) * n / max(1, high - low)).cast("int")
+        ranged = pieces.repartitionById(n, place).sortWithinPartitions("slot", "start")
+        out.append(written(ranged.mapInArrow(lambda rows: _write(rows, where, length, shard_size, end), schema), "sequences"))
+        release(spark)
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def read_sequences(where: str, slot: int, length: int = LENGTH, shard_size: int = SHARD) -> Iterator[np.ndarray]:
