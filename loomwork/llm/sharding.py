@@ -1,7 +1,7 @@
 """Operator 9, sharding: contiguous shards of ordered atomic groups with the least largest size.
 
 Rows with equal texts form one atomic group. Groups stand in the order of their key, the MD5 of the
-text (null texts form a group that comes first). The smallest capacity with which a greedy pass
+text (a null text counts as empty). The smallest capacity with which a greedy pass
 needs no more than ``n_shards`` shards is found by binary search; the cuts then lie as near to equal
 sizes as that capacity allows.
 
@@ -130,7 +130,7 @@ def shard_rows(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_c
     """A shard and a slot for every row; ``bytes`` law: sizes near equal, equal texts together.
 
     Size: UTF-8 bytes of the text (null: none) plus 8. Slots count each shard's rows from 0 in the
-    order (key, id). Repeated rows have slots of their own; a null id sorts first; an empty table
+    order (key, id). Null and empty texts are equal. Repeated rows have slots of their own; a null id sorts first; an empty table
     gives no rows. Other columns are not read, so their names cannot clash.
     """
     spark = df.sparkSession
@@ -139,7 +139,7 @@ def shard_rows(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_c
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("crc"),
-        F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("key"),
+        F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("key"),
         F.monotonically_increasing_id().alias("tie"),
     )
     ordered = light.repartitionByRange(parts(spark), "key", "id", "tie").sortWithinPartitions("key", "id", "tie")
