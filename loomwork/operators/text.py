@@ -40,9 +40,12 @@ def top_terms(scores: DataFrame, key: str, k: int) -> DataFrame:
     return top_k(scores, [key], [F.desc("score"), F.desc("word")], k)
 
 
-def search(queries: DataFrame, counts: DataFrame, n_docs: DataFrame, k: int = 10) -> DataFrame:
-    """(item_id, doc_id, score, r): the k best documents of each query by sum of (1 + ln tf) * log2(N / df). queries: (item_id, word), distinct."""
-    wanted = counts.join(queries.select("word").distinct(), "word", "left_semi")
+def search(queries: DataFrame, docs: DataFrame, words: Column, k: int = 10) -> DataFrame:
+    """(item_id, doc_id, score, r): the k best documents (doc_id, ...) of each query by sum of (1 + ln tf) * log2(N / df).
+    queries: (item_id, word), distinct. Only tokens that a query has are counted and shuffled."""
+    tokens = docs.select("doc_id", F.explode(words).alias("word")).join(queries.select("word").distinct(), "word", "left_semi")
+    wanted = tokens.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("f"))
+    n_docs = docs.agg(F.count(F.lit(1)).alias("docs"))
     df = wanted.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     weighed = wanted.join(df, "word").crossJoin(F.broadcast(n_docs)).select("word", "doc_id", ((1 + F.log("f")) * F.log2(F.col("docs") / F.col("df"))).alias("w"))
     scored = queries.join(weighed, "word").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))

@@ -174,9 +174,8 @@ def content_recs(spark: SparkSession, d: str, least: float = 0.01) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    counts = ops.term_counts(_docs(spark, d), "doc_id", fn.words_az(F.col("text")))
     queries = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(fn.words_az(F.col("text")))).alias("word"))
-    return ops.search(queries, counts, _docs(spark, d).agg(F.count(F.lit(1)).alias("docs")))
+    return ops.search(queries, _docs(spark, d), fn.words_az(F.col("text")))
 
 
 _SEARCH = f"""t AS (SELECT doc_id, {SQL_AZ} AS w FROM documents), q AS (SELECT DISTINCT item_id, unnest({SQL_AZ}) AS word FROM benchmark),
