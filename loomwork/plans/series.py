@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import geo, series
+from ..operators.relational import last_per_group
 from ..shipping import ship
 from ..sources.sinks import long_report
 from ..sources.tables import table
@@ -209,3 +210,11 @@ def geo_nearest(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
 @query(f"WITH {_XY}, e AS (SELECT p.id AS a, q.id AS b FROM xy p JOIN xy q ON p.id <> q.id JOIN xy z ON z.id <> p.id AND z.id <> q.id GROUP BY 1, 2 HAVING min((q.x - p.x) * (z.y - p.y) - (q.y - p.y) * (z.x - p.x)) > 0) SELECT DISTINCT a AS vec_id FROM e")
 def geo_hull_vertices(spark: SparkSession, d: str) -> DataFrame:
     return geo.hull(_plane(spark, d)).select(F.col("id").alias("vec_id"))
+
+
+@query()
+def rt_standings(spark: SparkSession, d: str) -> DataFrame:
+    """The last day of each series: under control if the 90 % interval ends at 1 or below, growing if it begins at 1 or above."""
+    last = last_per_group(rt_estimate(spark, d), "event_type", F.col("day"), "day", "ml", "low_90", "high_90", "low_50", "high_50")
+    state = F.when(F.col("high_90") <= 1, "under control").when(F.col("low_90") >= 1, "growing").otherwise("open")
+    return last.withColumn("state", state)
