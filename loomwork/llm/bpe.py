@@ -14,7 +14,7 @@ import base64
 import gc
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.shipping import ship
 
-from .common import read
+from .common import read, texts, trim
 
-#: UTF-8 bytes of text in a block, and words whose ids a worker keeps at most.
-BLOCK_BYTES, KEPT_WORDS = 8_000_000, 600_000
+#: Characters of text in a block, words whose ids a task keeps at most, and symbols in one replay.
+BLOCK_BYTES, KEPT_WORDS, SYMBOLS = 2_000_000, 350_000, 250_000
 
 
 class Vocabulary:
@@ -124,10 +124,20 @@ class Vocabulary:
                 rest.append((word, raw))
             else:
                 self.known[word] = rank.to_bytes(4, "little")
-        if rest:
-            self.known.update(zip((w for w, _ in rest), self.replay([raw for _, raw in rest]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        some, size = [], 0
+        for pair in rest:
+            some.append(pair)
+            size += len(pair[1]) + 1
+            if size >= SYMBOLS:
+                self._replayed(some)
+                some, size = [], 0
+        self._replayed(some)
+
+    def _replayed(self, some: list[tuple[str, bytes]]) -> None:
+        if some:
+            self.known.update(zip((w for w, _ in some), self.replay([raw for _, raw in some]), strict=True))
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         block: list[str] = []
@@ -183,7 +193,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         own = vocabulary(path)
         for batch in batches:
             gc.disable()  # millions of live words and positions, none of them in cycles
-            ids = own.encode([t or "" for t in batch.column("__text").to_pylist()])
+            ids = own.encode(texts(batch.column("__text")))
             gc.enable()
             columns = [batch.column(c) for c in names]
             columns += [pa.array([len(x) // 4 for x in ids], pa.int64())]
@@ -192,6 +202,8 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             if keep_ids:
                 columns += [pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
+        own.known.clear()
+        trim()
 
     return source.mapInArrow(run, schema)
 

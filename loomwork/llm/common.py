@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +41,25 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that no longer exist."""
-    gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give a Python worker's unused memory back: workers stay for later tasks, beside other workers and the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def texts(column: pa.Array, rows: int = 500) -> Iterator[str]:
+    """The texts of a column, some rows at a time; null counts as empty."""
+    for begin in range(0, len(column), rows):
+        for text in column.slice(begin, rows).to_pylist():
+            yield text or ""
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

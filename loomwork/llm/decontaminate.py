@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from loomwork.shipping import ship
 
-from .common import ascii_lower, read, written
+from .common import ascii_lower, read, trim, written
 
-WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 2_000_000, 32_000_000
+WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 1_000_000, 32_000_000
 #: A-Z become a-z; all other bytes but digits, a-z and those above 0x7F part words.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -170,6 +170,7 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     extra = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                     part = batch.slice(begin, at - begin)
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *extra], [*columns, *added])
+            trim()
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
         return source.mapInArrow(run, f"{schema}, {new}")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loomwork.shipping import ship
 
-from .common import LOWER, parts, read, release, written
+from .common import LOWER, parts, read, release, texts, trim, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -127,13 +127,17 @@ def _cut_sets(df: DataFrame, id_col: str, text_col: str, n: int, bits: int) -> D
             rows.append((1, p, None, None, key[owner[a:b][head]].tobytes(), count.tobytes(), pack(h[a:b], size), None))
         return rows
 
+    def sent(blocks: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(blocks), 64):
+            some = blocks[i : i + 64]
+            yield _table(some, pa.nulls(len(some), kind), _KINDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column("id")
             rows, keys, sets, held = [], [], [], 0
-            blocks = []
-            for text in batch.column("__text").to_pylist():
+            for text in texts(batch.column("__text")):
                 h = shingles(text, n)
                 if not len(h):
                     rows.append((0, 0, None, 0, None, None, None, None))
@@ -146,13 +150,12 @@ def _cut_sets(df: DataFrame, id_col: str, text_col: str, n: int, bits: int) -> D
                     sets.append(h)
                     held += len(h)
                     if held >= BLOCK:
-                        blocks += flush(keys, sets)
+                        yield from sent(flush(keys, sets), ids.type)
                         keys, sets, held = [], [], 0
-            blocks += flush(keys, sets)
+            yield from sent(flush(keys, sets), ids.type)
             yield _table(rows, ids, _KINDS)
-            for i in range(0, len(blocks), 64):
-                some = blocks[i : i + 64]
-                yield _table(some, pa.nulls(len(some), ids.type), _KINDS)
+        _known.clear()
+        trim()
 
     return df.select(df[id_col].alias("id"), df[text_col].alias("__text")).mapInArrow(run, schema)
 

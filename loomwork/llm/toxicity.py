@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,18 +25,23 @@ from pyspark.sql import functions as F
 
 from loomwork.shipping import ship
 
-from .common import read
+from .common import read, release, trim
 
 #: Bounds of the sample that the model is fitted on: rows and bytes of text of each label.
-TOXIC_ROWS, CLEAN_ROWS, TOXIC_BYTES, CLEAN_BYTES = 3000, 8000, 8_000_000, 20_000_000
+TOXIC_ROWS, CLEAN_ROWS, TOXIC_BYTES, CLEAN_BYTES = 2500, 6000, 6_000_000, 15_000_000
 STRETCH, GRAMS, BUCKETS, WIDTH, EPOCHS, STEPS, BATCH, RATE, SEED = 32, (3, 4, 5), 1 << 18, 8, 6, 4000, 256, 0.3, 7
-THRESHOLD, KEPT_WORDS, RUN_CHARS = 0.3, 300_000, 1_000_000
+THRESHOLD, KEPT_WORDS, RUN_CHARS = 0.3, 250_000, 1_000_000
 
 find = re.compile(r"[^\W\d_]+").findall
 
 
 def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the matrix for each word, one after another, and how many each word has."""
+    """Rows of the matrix for each word, one after another, and how many each word has. Some thousand words at a time, to bound what stands in memory."""
+    parts = [_buckets(words[i : i + 8192]) for i in range(0, len(words), 8192)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     chars = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
     end = np.repeat(np.cumsum(size), size)
@@ -54,7 +60,7 @@ def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(word[at])
     rows, owners = np.concatenate(rows), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return rows[order], np.bincount(owners, minlength=len(words))
+    return rows[order].astype(np.int32), np.bincount(owners, minlength=len(words))
 
 
 @dataclass
@@ -123,17 +129,17 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
         return None
     rng = np.random.default_rng(SEED)
     number: dict[str, int] = {}
-    flat, cuts, owner = [], [0], []
+    flat, cuts, owner = array("i"), [0], []
     for i, text in enumerate(texts):
         ws = [number.setdefault(w, len(number)) for w in find(text.lower())]
         starts = list(range(0, max(1, len(ws) - STRETCH // 2), STRETCH)) if ws else []
         for a, b in zip(starts, [*starts[1:], len(ws)], strict=False):
             cuts.append(cuts[-1] + b - a)
             owner.append(i)
-        flat += ws
+        flat.extend(ws)
     if not flat:
         return None
-    flat, cuts, owner = np.array(flat), np.array(cuts), np.array(owner)
+    flat, cuts, owner = np.array(flat, dtype=np.int32), np.array(cuts), np.array(owner)
     rows, count = buckets(list(number))
     first = np.cumsum(count) - count
     table = rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32)
@@ -146,7 +152,7 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     epochs = max(EPOCHS, min(60, STEPS * BATCH // len(owner)))  # small samples are gone through more often
     for epoch in range(epochs):
         if epoch >= 2:
-            odds = (table @ (soft[:, 1] - soft[:, 0]))[rows]
+            odds = (table @ (soft[:, 1] - soft[:, 0]).astype(np.float32))[rows]
             v = np.add.reduceat(odds, first) / count
             z = np.add.reduceat(v[flat], cuts[:-1]) / np.diff(cuts) + bias[1] - bias[0]
             best = np.full(len(y), -np.inf)
@@ -224,6 +230,8 @@ def score_toxicity(df: DataFrame, model: Model | None, text_col: str = "text", s
         for batch in batches:
             score = shared.value.scores([t or "" for t in batch.column(text_col).to_pylist()], known)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score, pa.float64())], [*names, score_col])
+        known.clear()
+        trim()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
     return df.select(*names).mapInArrow(run, f"{schema}, `{score_col}` double")
@@ -236,7 +244,9 @@ def held_out(id_col: str) -> F.Column:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """The model, from labelled rows that are not held out; null labels and ids without a document teach nothing."""
-    return fit(*sample(docs, labels, id_col, text_col, label_col, ~held_out(id_col)))
+    model = fit(*sample(docs, labels, id_col, text_col, label_col, ~held_out(id_col)))
+    release(docs.sparkSession)
+    return model
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
