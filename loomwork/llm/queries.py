@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lines
+from . import decontaminate, jaccard, lines, sharding
 from .bpe import op3_byte_bpe
 from .chat import op10_chat
 from .media import op8_media
@@ -28,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": lines.SQL,
     "op4_ngram_jaccard": jaccard.SQL,
     "op5_decontaminate": decontaminate.SQL,
+    "op9_sharding": sharding.SQL,
 }

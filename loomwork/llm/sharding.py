@@ -177,3 +177,39 @@ def shard_rows(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_c
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read(spark, sf_dir, "documents"), n_shards=24)
+
+
+#: The same in SQL: greedy by list_reduce, binary search and cuts by recursion, CRC-32 by its bytewise rule (polynomial 0xEDB88320).
+SQL = """
+WITH RECURSIVE poly AS (SELECT list(t ORDER BY b) AS t FROM (
+  SELECT b, list_reduce([b] || list_transform(range(8), lambda k: CAST(0 AS BIGINT)), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS t FROM range(256) x(b))),
+d AS MATERIALIZED (
+  SELECT doc_id, md5(coalesce(text, '')) AS key, coalesce(strlen(text), 0) + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS MATERIALIZED (
+  SELECT doc_id, key, size, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+    lambda a, b: xor(poly.t[(xor(a, b) & 255) + 1], a >> 8)), CAST(4294967295 AS BIGINT)) AS crc FROM d, poly),
+g AS MATERIALIZED (SELECT key, s, sum(s) OVER (ORDER BY key) AS e FROM (SELECT key, CAST(sum(size) AS BIGINT) AS s FROM c GROUP BY 1)),
+l AS MATERIALIZED (SELECT list({'u': CAST(1 AS BIGINT), 'h': s} ORDER BY key) AS s, [CAST(0 AS BIGINT)] || list(CAST(e AS BIGINT) ORDER BY key) AS e, CAST(sum(s) AS BIGINT) AS total, max(s) AS most FROM g),
+search AS (
+  SELECT greatest((total + 23) // 24, most) AS lo, total AS hi FROM l
+  UNION ALL
+  SELECT CASE WHEN ok THEN lo ELSE mid + 1 END, CASE WHEN ok THEN mid ELSE hi END FROM (
+    SELECT lo, hi, (lo + hi) // 2 AS mid, list_reduce(l.s, lambda a, x: CASE WHEN a.h + x.h > (lo + hi) // 2 THEN {'u': a.u + 1, 'h': x.h} ELSE {'u': a.u, 'h': a.h + x.h} END).u <= 24 AS ok
+    FROM search, l WHERE lo < hi)),
+cap AS MATERIALIZED (SELECT lo AS c FROM search WHERE lo = hi),
+late AS (
+  SELECT 0 AS k, total AS x FROM l
+  UNION ALL
+  SELECT k + 1, (SELECT list_min(list_filter(l.e, lambda b: b >= greatest(0, late.x - cap.c))) FROM l, cap) FROM late WHERE k < 23),
+lates AS MATERIALIZED (SELECT list(x ORDER BY k) AS y FROM late),
+cut AS (
+  SELECT -1 AS i, CAST(0 AS BIGINT) AS x
+  UNION ALL
+  SELECT i + 1, greatest(x, lates.y[23 - i], least(CASE WHEN share - below <= above - share THEN below ELSE above END, top)) FROM (
+    SELECT i, q.x, share, list_max(list_filter(l.e, lambda b: b <= share)) AS below, list_min(list_filter(l.e, lambda b: b >= share)) AS above, list_max(list_filter(l.e, lambda b: b <= least(q.x + cap.c, l.total))) AS top
+    FROM (SELECT i, cut.x, cut.x + (l.total - cut.x + 23 - i - 1) // (23 - i) AS share FROM cut, l WHERE i < 22) q, l, cap), lates),
+cuts AS (SELECT list(x) AS y FROM cut WHERE i >= 0),
+p AS (SELECT c.*, CAST(len(list_filter(cuts.y, lambda b: b < g.e)) AS INTEGER) AS shard FROM c JOIN g USING (key), cuts)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard, (SELECT c FROM cap) AS capacity FROM p
+"""
