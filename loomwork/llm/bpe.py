@@ -47,6 +47,12 @@ class Vocabulary:
         }
         self.pair_keys = np.array(sorted(self.pairs), dtype=np.int64)
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+        follow: dict[int, dict[int, int]] = {}
+        for key, rank in self.pairs.items():
+            follow.setdefault(key >> 32, {})[key & 0xFFFFFFFF] = rank
+        none: dict[int, int] = {}
+        #: by left token: right token -> rank; the last entry, index -1, is that of a gap and has nothing
+        self.follow = [follow.get(t, none).get for t in range(max(self.tokens) + 1)] + [none.get]
         self.known: dict[str, bytes] = {}
 
     def replay(self, words: list[bytes]) -> list[bytes]:
@@ -70,30 +76,29 @@ class Vocabulary:
         heapify(heap)
         symbol, begin = flat.tolist(), starts.tolist()
         after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
-        pair = self.pairs.get
+        follow = self.follow
         while heap:
             r = heappop(heap)
             places = index.pop(r, None)
             if places is None:
                 continue
             places.sort()
-            held, till = [], -1
+            held, till, mine = [], -1, follow[r]
             for i in places:
                 left = symbol[i]
                 if left < 0:
                     continue
                 j = after[i]
-                right = symbol[j]
-                if right < 0 or pair(left << 32 | right) != r:
+                if follow[left](symbol[j]) != r:
                     continue
                 if i < till:  # a pair of lower rank has come up in this word: it goes first
                     held.append(i)
                     continue
                 symbol[i], symbol[j] = r, -1
                 k = after[j]
-                after[i], before[k] = k, i
                 h = before[i]
-                for place, new in ((h, pair(symbol[h] << 32 | r) if symbol[h] >= 0 else None), (i, pair(r << 32 | symbol[k]) if symbol[k] >= 0 else None)):
+                after[i], before[k] = k, i
+                for place, new in ((h, follow[symbol[h]](r)), (i, mine(symbol[k]))):
                     if new is not None:
                         if new in index:
                             index[new].append(place)
