@@ -11,7 +11,6 @@ on its own; what several blocks find in a document is merged.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
