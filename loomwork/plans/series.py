@@ -43,9 +43,9 @@ def _day_window():
     return Window.partitionBy("event_type").orderBy("day")
 
 
-@query(f"WITH {_D} SELECT event_type, day, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS v FROM d")
+@query(f"WITH {_D} SELECT event_type, day, CAST(n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS DOUBLE) AS v FROM d")
 def ts_diff(spark: SparkSession, d: str) -> DataFrame:
-    return _daily(spark, d).select("event_type", "day", (F.col("n") - F.lag("n").over(_day_window())).alias("v"))
+    return _daily(spark, d).select("event_type", "day", (F.col("n") - F.lag("n").over(_day_window())).cast("double").alias("v"))
 
 
 def _gauss_sql() -> str:
