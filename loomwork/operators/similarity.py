@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .relational import top_k
 
 PRIME = 1_000_000_007
 #: Variance up to this counts as none.
 FLAT = 1e-9
+#: Texts of a block and shingles of a matrix, where blocks of texts meet; size classes to a factor of the least similarity.
+SIDE, COLUMNS, STEPS = 512, 4096, 4
 
 
 def common(rows: DataFrame, key: str, item: str, *values: str) -> DataFrame:
@@ -108,3 +116,81 @@ def predict_user(test: DataFrame, train: DataFrame, sims: DataFrame, n: int = 5)
     every = mean.agg(F.avg("m").alias("mm"))
     j = test.join(got, ["user", "item"], "left").join(mean, "user", "left").crossJoin(F.broadcast(every))
     return j.select("user", "item", F.coalesce(F.col("m") + F.when((F.col("u") != 0) & (F.col("v") != 0), F.col("u") / F.col("v")), "m", "mm").alias("pred"))
+
+
+def shingle_rows(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) without repeats, in the order of shingles, which are numbered from 0: one number stands for the same k characters in all texts."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    m = len(chars) - k + 1
+    if m < 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    letters, chars = np.unique(chars, return_inverse=True)
+    gram = chars[:m].astype(np.int64)
+    for j in range(1, k):
+        if int(gram.max() + 1) * len(letters) >= 1 << 62:
+            gram = np.unique(gram, return_inverse=True)[1]
+        gram = gram * len(letters) + chars[j : m + j]
+    inside = row[:m] == row[k - 1 :]
+    gram = np.unique(gram[inside], return_inverse=True)[1]
+    both = np.unique(gram * len(texts) + row[:m][inside])
+    return both % len(texts), both // len(texts)
+
+
+def shingle_overlaps(a: list[str], b: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matrix of shared k-character shingles of each text of a with each of b, and the set sizes of both."""
+    row, gram = shingle_rows(a + b, k)
+    sizes = np.bincount(row, minlength=len(a) + len(b))
+    left = row < len(a)
+    n = int(gram[-1]) + 1 if len(gram) else 0
+    shared = (np.bincount(gram[left], minlength=n) > 0) & (np.bincount(gram[~left], minlength=n) > 0)
+    column, kept = np.cumsum(shared) - 1, shared[gram]
+    row, gram = row[kept], column[gram[kept]]
+    out = np.zeros((len(a), len(b)))
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        begin, end = np.searchsorted(gram, (lo, lo + COLUMNS))
+        marks = np.zeros((len(a) + len(b), COLUMNS), dtype=np.float32)
+        marks[row[begin:end], gram[begin:end] - lo] = 1
+        out += marks[: len(a)] @ marks[len(a) :].T
+    return out, sizes[: len(a)], sizes[len(a) :]
+
+
+def similar_texts(texts: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b, sim), a < b: every pair of texts (id long, text) whose sets of k-character shingles have a Jaccard similarity of least or more.
+
+    Sets of a pair differ in size by a factor of 1 / least at most, so blocks of texts meet those of near size classes only; a
+    task counts the overlaps of two blocks as matrices. Nothing is left out, so the work and the result grow with the square
+    of the texts of like size."""
+    ship(texts.sparkSession)
+    step = math.log(1 / least) / STEPS
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(size=[int(math.log(len(shingle_rows([t], k)[0])) / step) for t in f.text])
+
+    sized = texts.where(F.length("text") >= k).select("id", "text").mapInPandas(measure, "id long, text string, size int")
+    blocks, first = {}, 0
+    for size, n in sorted((r["size"], r["count"]) for r in sized.groupBy("size").count().collect()):  # size classes are few
+        blocks[size] = (first, -(-n // SIDE))
+        first += blocks[size][1]
+    # One class more than the bound allows, for logarithms that fall on a border.
+    near = [(x, y) for s, (f, m) in blocks.items() for t, (g, o) in blocks.items() if s <= t <= s + STEPS + 1 for x in range(f, f + m) for y in range(g, g + o) if x <= y]
+    meets = sorted({(z, x, y) for x, y in near for z in (x, y)})
+    spark = texts.sparkSession
+    table = spark.createDataFrame([(s, f, m) for s, (f, m) in blocks.items()], "size int, first int, m int")
+    placed = sized.join(F.broadcast(table), "size").select("id", "text", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("m"))).cast("int").alias("block"))
+    dealt = placed.join(F.broadcast(spark.createDataFrame(pd.DataFrame(meets, columns=["block", "x", "y"]).astype("int32"), "block int, x int, y int")), "block")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = key
+        a, b = pdf[pdf.block == x], pdf[pdf.block == y]
+        ia, ib = a.id.to_numpy(), b.id.to_numpy()
+        shared, na, nb = shingle_overlaps(a.text.tolist(), b.text.tolist(), k)
+        sim = shared / (na[:, None] + nb[None] - shared)
+        hit = sim >= least
+        if x == y:
+            hit &= ia[:, None] < ib[None]
+        i, j = np.nonzero(hit)
+        return pd.DataFrame({"a": np.minimum(ia[i], ib[j]), "b": np.maximum(ia[i], ib[j]), "sim": sim[i, j]})
+
+    return dealt.groupBy("x", "y").applyInPandas(run, "a long, b long, sim double")

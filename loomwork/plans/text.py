@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as fn
+from ..operators import similarity
 from ..operators import text as ops
 from ..operators.relational import top_k
 from ..sources.tables import table
@@ -244,6 +245,13 @@ def edit_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
     return ops.near_words(words, words).where((F.col("word") < F.col("other")) & (F.levenshtein("word", "other") == 1)).select(F.col("word").alias("a"), F.col("other").alias("b"))
 
 
+@query()
+def edit_distance_pairs_documents(spark: SparkSession, d: str) -> DataFrame:
+    """As edit_distance_pairs, over every word of the documents. A form with one letter deleted has at most 26 words a place, so candidates grow with the words."""
+    words = _dictionary(spark, d).select("word")
+    return ops.near_words(words, words).where((F.col("word") < F.col("other")) & (F.levenshtein("word", "other") == 1)).select(F.col("word").alias("a"), F.col("other").alias("b"))
+
+
 @query("SELECT md5(text) AS fingerprint, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_dups(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).groupBy(F.md5("text").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
@@ -264,6 +272,13 @@ def shingle_jaccard(spark: SparkSession, d: str, k: int = 4, least: float = 0.3)
     return both.where(sim >= least).select("a", "b", F.round(sim, 6).alias("sim"))
 
 
+@query()
+def shingle_jaccard_documents(spark: SparkSession, d: str, k: int = 4, least: float = 0.3) -> DataFrame:
+    """As shingle_jaccard, over the documents."""
+    pairs = similarity.similar_texts(_docs(spark, d).select(F.col("doc_id").cast("long").alias("id"), "text"), k, least)
+    return pairs.select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     words = fn.without_stopwords(fn.words_joined(F.col("text")))
     return table(spark, d, "labels").join(_docs(spark, d).select("doc_id", words.alias("w")), "doc_id")
