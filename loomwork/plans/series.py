@@ -108,11 +108,15 @@ def hdi(spark: SparkSession, d: str, mass: float = 0.9) -> DataFrame:
     return best.select("event_type", F.col("t").alias("day"), F.round(F.col("z.i") / 10, 1).alias("low"), F.round(F.col("z.j") / 10, 1).alias("high"))
 
 
+#: Spreads of the reproduction number to choose from.
+SIGMAS = [i / 20 for i in range(1, 21)]
+
+
 @query()
 def rt_estimate(spark: SparkSession, d: str) -> DataFrame:
-    """Reproduction number by day with the spread that fits best."""
-    counts = _daily(spark, d)
-    sigma = series.best_sigma(counts, "event_type", "day", "n", [0.1, 0.25, 0.5]).first().sigma
+    """Reproduction number by day of the smoothed counts, with the spread that fits best."""
+    counts = series.prepared(_daily(spark, d), "event_type", "day", "n")
+    sigma = series.best_sigma(counts, "event_type", "day", "n", SIGMAS).first().sigma
     return series.rt_estimate(counts, "event_type", "day", "n", sigma)
 
 

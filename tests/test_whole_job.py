@@ -1,13 +1,15 @@
 """Queries that take the whole of their input, against brute force."""
 
+import math
 import re
 from itertools import combinations
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.catalog import QUERIES
-from loomwork.operators import similarity
+from loomwork.operators import series, similarity
 
 D = "/root/testdata/sf0.001"
 
@@ -41,3 +43,28 @@ def test_words_of_all_documents_one_edit_apart(spark, documents):
     want = {(a, b) for a in words for b in near(a) & words if a < b}
     got = QUERIES["edit_distance_pairs_documents"](spark, D).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_spread_is_chosen_among_twenty(spark, monkeypatch):
+    tried = []
+    real = series.best_sigma
+    monkeypatch.setattr(series, "best_sigma", lambda c, key, day, n, choices: tried.append((choices, c)) or real(c, key, day, n, choices))
+    got = QUERIES["rt_estimate"](spark, "/root/testdata/sf0.01").toPandas()
+    choices, counts = tried[0]
+    assert choices == [i / 20 for i in range(1, 21)]
+    loglik = {s: sum(r.l for r in series.rt_estimate(counts, "event_type", "day", "n", s).groupBy("event_type").agg(F.max_by("loglik", "day").alias("l")).collect()) for s in (0.05, 0.1, 0.25)}
+    total = got.sort_values("day").groupby("event_type").loglik.last().sum()
+    assert total >= max(loglik.values()) - 1e-6 and total > loglik[0.1] + 1e-6
+
+
+def test_series_are_smoothed_and_start_at_a_cutoff(spark):
+    counts = {"high": [2, 3, 4, 30, 60, 70, 80, 90, 90], "low": [1, 2, 3, 8, 16, 18, 17, 16, 17], "tiny": [1, 2, 1, 3, 2, 1, 2, 1, 2]}
+    rows = [(k, f"2024-01-0{i + 1}", n) for k, v in counts.items() for i, n in enumerate(v)]
+    got = series.prepared(spark.createDataFrame(rows, "k string, day string, n long"), "k", "day", "n").orderBy("day").collect()
+    for k, v in counts.items():
+        smooth = []
+        for i in range(len(v)):
+            weights = {j: math.exp(-((i - j) ** 2) / 8) for j in range(max(0, i - 3), min(len(v), i + 4))}
+            smooth.append(round(sum(w * v[j] for j, w in weights.items()) / sum(weights.values())))
+        start = next((i for c in (25, 10) for i in range(len(v)) if smooth[i] >= c), 0)
+        assert [r.n for r in got if r.k == k] == smooth[start:]
