@@ -4,6 +4,7 @@ import math
 import re
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +69,24 @@ def test_series_are_smoothed_and_start_at_a_cutoff(spark):
             smooth.append(round(sum(w * v[j] for j, w in weights.items()) / sum(weights.values())))
         start = next((i for c in (25, 10) for i in range(len(v)) if smooth[i] >= c), 0)
         assert [r.n for r in got if r.k == k] == smooth[start:]
+
+
+def test_posterior_and_interval_of_every_day(spark):
+    e = pd.read_parquet(f"{D}/events.parquet")
+    counts = e.groupby(["event_type", e.ts.dt.strftime("%Y-%m-%d")]).size()
+    r, want, intervals = np.arange(121) / 10, {}, {}
+    for kind, series_ in counts.groupby(level=0):
+        k, ll = series_.sort_index().to_numpy(), np.zeros(121)
+        for t in range(1, len(k)):
+            lam = k[t - 1] * np.exp((r - 1) / 7)
+            ll = ll + k[t] * np.log(lam) - lam
+            p = np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum()
+            want[kind, t + 1] = p
+            c = np.round(np.cumsum(p), 9)
+            _, low, high = min((j - i, i, j) for i in range(121) for j in range(i + 1, 121) if c[j] - c[i] > 0.9)
+            intervals[kind, t + 1] = (low / 10, high / 10)
+    got = QUERIES["rt_posterior_daily"](spark, D).toPandas()
+    assert len(got) == 121 * len(want) and {t for _, t in want} == set(range(2, 31))
+    for key, g in got.groupby(["event_type", "day"]):
+        assert g.sort_values("r").p.to_numpy() == pytest.approx(want[key], abs=1e-6)
+    assert {(x.event_type, x.day): (x.low, x.high) for x in QUERIES["hdi_daily"](spark, D).collect()} == intervals
