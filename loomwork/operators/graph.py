@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rounds after which an iteration is checkpointed, where the context has a folder for it.
@@ -48,20 +50,41 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFra
     return rank
 
 
-def distances(edges: DataFrame, source: DataFrame, rounds: int, weight: str | None = None) -> DataFrame:
-    """(node, d): least sum of weights (or number of edges) over at most so many edges from the nodes of source (node)."""
+def _fixed(edges: DataFrame, start: DataFrame, value: str, sent: Column) -> DataFrame:
+    """start (node, value) after rounds until no value falls. Only nodes whose value fell send it in the next round. Each round is
+    checkpointed, as the next one reads it twice."""
+    spark = edges.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints")
+    known = fallen = start.select("node", value)
+    while True:
+        heard = fallen.withColumnRenamed("node", "src").join(edges, "src").select(F.col("dst").alias("node"), sent.alias(value), F.lit(None).alias("__was"))
+        rows = known.withColumn("__was", F.col(value)).unionByName(heard).groupBy("node").agg(F.min(value).alias(value), F.min("__was").alias("__was")).persist()
+        new = rows.checkpoint()
+        rows.unpersist()
+        known, fallen = new.select("node", value), new.where(F.col("__was").isNull() | (F.col(value) < F.col("__was"))).select("node", value)
+        if fallen.isEmpty():
+            return known
+
+
+def distances(edges: DataFrame, source: DataFrame, rounds: int | None = None, weight: str | None = None) -> DataFrame:
+    """(node, d): least sum of weights (or number of edges) from the nodes of source (node), over at most so many edges or, without
+    rounds, over any number. Weights are not negative."""
     known = source.select("node", F.lit(0).cast("long").alias("d"))
     step = F.col(weight) if weight else F.lit(1)
+    if rounds is None:
+        return _fixed(edges, known, "d", (F.col("d") + step).cast("long"))
     for turn in range(1, rounds + 1):
         reached = known.withColumnRenamed("node", "src").join(edges, "src").select(F.col("dst").alias("node"), (F.col("d") + step).cast("long").alias("d"))
         known = _cut(known.unionByName(reached).groupBy("node").agg(F.min("d").alias("d")), turn)
     return known
 
 
-def components(edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, component): the least node within so many edges; rounds must not be below the diameter. For graphs of any depth
-    an iteration to a fixed point belongs around it."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component): the least node within so many edges or, without rounds, of all that are connected."""
     label = edges.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
+    if rounds is None:
+        return _fixed(edges, label, "component", F.col("component"))
     for turn in range(1, rounds + 1):
         heard = edges.join(label.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "component")
         label = _cut(label.unionByName(heard).groupBy("node").agg(F.min("component").alias("component")), turn)

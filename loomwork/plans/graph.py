@@ -82,23 +82,24 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
     return ops.pagerank(edges).select("node", F.round("pr", 6).alias("pr"))
 
 
+#: Rounds that the SQL is unrolled to; the queries themselves go on until nothing changes.
 HOPS = 6
 
 
 @query(f"WITH {_G}, " + _unrolled("SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS d", "SELECT node, min(d) AS d FROM (SELECT node, d FROM {x} UNION ALL SELECT dst, d + 1 FROM {x} JOIN g ON src = node) GROUP BY 1", HOPS, "SELECT node, d FROM {x}"))
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Levels up to six from supplier 0."""
+    """Levels from supplier 0."""
     edges = _edges(spark, d).persist()
-    return ops.distances(edges, spark.createDataFrame([(0,)], "node long"), HOPS)
+    return ops.distances(edges, spark.createDataFrame([(0,)], "node long"))
 
 
 @query(f"WITH {_G}, w AS (SELECT src, dst, 10 + (src + dst) % 7 AS w FROM g), " + _unrolled("SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS d", "SELECT node, min(d) AS d FROM (SELECT node, d FROM {x} UNION ALL SELECT dst, d + w FROM {x} JOIN w ON src = node) GROUP BY 1", HOPS, "SELECT node, CAST(d AS BIGINT) AS d FROM {x}"))
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d).withColumn("w", 10 + (F.col("src") + F.col("dst")) % 7).persist()
-    return ops.distances(edges, spark.createDataFrame([(0,)], "node long"), HOPS, "w")
+    return ops.distances(edges, spark.createDataFrame([(0,)], "node long"), weight="w")
 
 
 @query(f"WITH {_G}, " + _unrolled("SELECT node, node AS component FROM dg", "SELECT node, min(component) AS component FROM (SELECT node, component FROM {x} UNION ALL SELECT dst, component FROM {x} JOIN g ON src = node) GROUP BY 1", 10, "SELECT node, component FROM {x}"))
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d).persist()
-    return ops.components(edges, 10)
+    return ops.components(edges)

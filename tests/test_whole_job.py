@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.catalog import QUERIES
-from loomwork.operators import series, similarity
+from loomwork.operators import graph, series, similarity
+from loomwork.plans import graph as graph_plans
 
 D = "/root/testdata/sf0.001"
 
@@ -90,3 +91,19 @@ def test_posterior_and_interval_of_every_day(spark):
     for key, g in got.groupby(["event_type", "day"]):
         assert g.sort_values("r").p.to_numpy() == pytest.approx(want[key], abs=1e-6)
     assert {(x.event_type, x.day): (x.low, x.high) for x in QUERIES["hdi_daily"](spark, D).collect()} == intervals
+
+
+def test_graphs_of_any_depth(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(14)] + [(0, 14), (20, 21)]
+    edges = graph.undirected(spark.createDataFrame(chain, "src long, dst long"))
+    monkeypatch.setattr(graph_plans, "_edges", lambda spark, d: edges.where("least(src, dst) <> 0 OR greatest(src, dst) <> 14"))
+    assert {r.node: r.d for r in graph_plans.bfs_levels(spark, D).collect()} == {i: i for i in range(15)}
+    assert {r.node: r.component for r in graph_plans.connected_components(spark, D).collect()} == {i: 0 for i in range(15)} | {20: 20, 21: 20}
+    want, cost = {0: 0}, lambda a, b: 10 + (a + b) % 7
+    for i in range(14):
+        want[i + 1] = want[i] + cost(i, i + 1)
+    assert {r.node: r.d for r in graph_plans.shortest_paths(spark, D).collect()} == want
+    # A long cheap way beats one dear edge.
+    dear = edges.withColumn("w", F.when((F.least("src", "dst") == 0) & (F.greatest("src", "dst") == 14), 100).otherwise(1))
+    got = {r.node: r.d for r in graph.distances(dear, spark.createDataFrame([(0,)], "node long"), weight="w").collect()}
+    assert got == {i: i for i in range(15)}
