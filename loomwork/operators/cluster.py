@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Clusters of the first sample with fewer points than this are outliers; rounds of k-means on it at most.
+SMALL, LLOYD = 10, 30
+
 
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z))
@@ -95,14 +98,16 @@ class Bfr:
         mean = [a / n for a in s]
         return mean, [max(0.0, q / n - m * m) ** 0.5 for q, m in zip(ss, mean, strict=True)]
 
-    def _seeded(self, points: DataFrame, k: int) -> DataFrame:
-        """points with cluster, by k-means from the k points of lowest id."""
+    def _seeded(self, points: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
+        """points with cluster, by k-means from the k points of lowest id, until no centre moves or so many rounds."""
         start = [(i, list(r.v)) for i, r in enumerate(points.orderBy("id").limit(k).collect())]
         if not start:
             return points.withColumn("cluster", F.lit(0)).limit(0)
-        for _ in range(self.seed_rounds):
+        for _ in range(rounds or self.seed_rounds):
             sums = self._sums(nearest_wide(points, start))
-            start = [(c, self._shape(sums[c])[0] if c in sums else m) for c, m in start]
+            last, start = start, [(c, self._shape(sums[c])[0] if c in sums else m) for c, m in start]
+            if start == last:
+                break
         return nearest_wide(points, start).drop("d")
 
     def _split(self, points: DataFrame, sets: dict[int, list]) -> DataFrame:
@@ -117,9 +122,12 @@ class Bfr:
         return points.checkpoint()
 
     def _compress(self) -> None:
-        if self.retained is None or self.retained.count() < 3 * self.k:
-            return
-        grouped = self._keep(self._seeded(self.retained, 3 * self.k))
+        if self.retained is not None and self.retained.count() >= 3 * self.k:
+            self.retained = self._minis(self.retained)
+
+    def _minis(self, points: DataFrame) -> DataFrame:
+        """Adds the clusters of 3k-means of points to the compressed set and returns the points that are alone in theirs."""
+        grouped = self._keep(self._seeded(points, 3 * self.k))
         many = grouped.groupBy("cluster").count().where("count > 1").select("cluster")
         tight = self._keep(grouped.join(F.broadcast(many), "cluster"))
         number = {c: self._next + i for i, c in enumerate(sorted(r.cluster for r in many.collect()))}
@@ -128,7 +136,26 @@ class Bfr:
             named = tight.withColumn("cluster", F.element_at(F.create_map(*(F.lit(x) for kv in number.items() for x in kv)), F.col("cluster")))
             self._add(self.compressed, self._sums(named))
             self.placed.append(self._keep(named.select("id", "cluster")))
-        self.retained = self._keep(grouped.join(F.broadcast(many), "cluster", "left_anti").select("id", "v"))
+        return self._keep(grouped.join(F.broadcast(many), "cluster", "left_anti").select("id", "v"))
+
+    def _first(self, points: DataFrame) -> None:
+        """First round. Of a sample of half the points, those in clusters of fewer than SMALL points by 5k-means are retained;
+        the rest gives the discard set by k-means. The other half gives the compressed set and more retained points by 3k-means.
+        A sample without k points in larger clusters is taken whole, and points without k in the sample are all the sample."""
+        half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+        sample, rest = points.where(half), points.where(~half)
+        if sample.count() < self.k:
+            sample, rest = points, points.limit(0)
+        grouped = self._keep(self._seeded(sample, 5 * self.k, LLOYD))
+        small = grouped.groupBy("cluster").count().where(F.col("count") < SMALL).select("cluster")
+        interior = self._keep(grouped.join(F.broadcast(small), "cluster", "left_anti").select("id", "v"))
+        self.retained = self._keep(grouped.join(F.broadcast(small), "cluster", "left_semi").select("id", "v"))
+        if interior.count() < self.k:
+            interior, self.retained = sample, points.limit(0)
+        placed = self._keep(self._seeded(interior, self.k, LLOYD))
+        self._add(self.discard, self._sums(placed))
+        self.placed.append(self._keep(placed.select("id", "cluster")))
+        self.retained = self._keep(self.retained.unionByName(self._minis(rest)))
 
     def _merge(self) -> dict[int, int]:
         """Compressed clusters that lie within the limit of one another become one, each merged once."""
@@ -156,10 +183,7 @@ class Bfr:
         """One round of points (id, v)."""
         points = self._keep(points.select("id", "v"))
         if not self.discard:
-            grouped = self._keep(self._seeded(points, self.k))
-            self._add(self.discard, self._sums(grouped))
-            self.placed.append(self._keep(grouped.select("id", "cluster")))
-            self.retained = points.limit(0)
+            self._first(points)
         else:
             first = self._keep(self._split(points, self.discard))
             second = self._keep(self._split(first.where("cluster IS NULL").drop("cluster"), self.compressed))
@@ -168,8 +192,8 @@ class Bfr:
                 self._add(sets, self._sums(taken))
                 self.placed.append(taken.select("id", "cluster"))
             self.retained = self._keep(self.retained.unionByName(second.where("cluster IS NULL").drop("cluster")))
-        self._compress()
-        self._merge()
+            self._compress()
+            self._merge()
         self.rounds.append((len(self.rounds) + 1, len(self.discard), sum(c[0] for c in self.discard.values()), len(self.compressed), sum(c[0] for c in self.compressed.values()), self.retained.count()))
 
     def result(self) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.catalog import QUERIES
-from loomwork.operators import graph, series, similarity
+from loomwork.operators import cluster, graph, series, similarity
 from loomwork.plans import graph as graph_plans
 
 D = "/root/testdata/sf0.001"
@@ -107,3 +107,18 @@ def test_graphs_of_any_depth(spark, monkeypatch):
     dear = edges.withColumn("w", F.when((F.least("src", "dst") == 0) & (F.greatest("src", "dst") == 14), 100).otherwise(1))
     got = {r.node: r.d for r in graph.distances(dear, spark.createDataFrame([(0,)], "node long"), weight="w").collect()}
     assert got == {i: i for i in range(15)}
+
+
+def test_first_round_retains_outliers(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rng = np.random.default_rng(8)
+    centres = np.array([[0.0, 0.0], [60.0, 60.0]])
+    points = [(i, (centres[i % 2] + rng.normal(0, 1, 2)).tolist()) for i in range(400)] + [(1000 + i, [-900.0 - 300 * i, 700.0 * (i % 2)]) for i in range(3)]
+    # Outliers come first, so that some of them are seeds.
+    points = [(i + 10 if i < 1000 else i - 1000, v) for i, v in points]
+    bfr = cluster.Bfr(2)
+    bfr.add(spark.createDataFrame(points, "id long, v array<double>"))
+    got = {r.id: r.cluster for r in bfr.result().collect()}
+    assert set(got) == {i for i, _ in points} and {got[i] for i in range(3)} == {-1}
+    assert len({(i % 2, c) for i, c in got.items() if i >= 10 and c != -1}) == 2
+    assert bfr.rounds[0][1] == 2 and bfr.rounds[0][2] + bfr.rounds[0][4] + bfr.rounds[0][5] == len(points)
