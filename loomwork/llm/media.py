@@ -25,8 +25,8 @@ from loomwork.shipping import ship
 from .common import read
 
 WIDTH, HEIGHT, FRAME_MS, BINS = 64, 64, 40, 32
-#: A shot begins where the histogram difference is above mean + SPREAD deviations of the last SPAN differences, and FLOOR at least.
-SPAN, SPREAD, FLOOR = 8, 3.0, 0.05
+#: A shot begins where the histogram difference is above mean + SPREAD deviations of the last SPAN differences, and FLOOR at least. The first difference has none before it and must be above FIRST.
+SPAN, SPREAD, FLOOR, FIRST = 8, 3.0, 0.05, 0.5
 
 CATEGORIES = bytes(range(8, -1, -1))
 COUNTS = bytes([0] * 7 + [1] * 9)
@@ -179,7 +179,7 @@ def shots(planes: np.ndarray, ms: int) -> list[tuple[int, int, int, float]]:
     cuts = [0]
     for t in range(n - 1):
         last = differ[max(0, t - SPAN) : t]
-        if differ[t] > max(FLOOR, last.mean() + SPREAD * last.std() if len(last) else 1.0):
+        if differ[t] > max(FLOOR, last.mean() + SPREAD * last.std() if len(last) else FIRST):
             cuts.append(t + 1)
     means = planes.reshape(n, -1).mean(axis=1)
     return [(a * ms, b * ms, b - a, float(means[a:b].mean())) for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
