@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import checkpoint_dir
+
 #: Rounds after which an iteration is checkpointed, where the context has a folder for it.
 EVERY = 5
 
@@ -53,9 +53,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFra
 def _fixed(edges: DataFrame, start: DataFrame, value: str, sent: Column) -> DataFrame:
     """start (node, value) after rounds until no value falls. Only nodes whose value fell send it in the next round. Each round is
     checkpointed, as the next one reads it twice."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints")
+    checkpoint_dir(edges.sparkSession)
     known = fallen = start.select("node", value)
     while True:
         heard = fallen.withColumnRenamed("node", "src").join(edges, "src").select(F.col("dst").alias("node"), sent.alias(value), F.lit(None).alias("__was"))
