@@ -6,14 +6,19 @@ last one filled up with end-of-text. A keyed Feistel network over the least even
 numbers, walked until it falls among them again, is a permutation: it gives every sequence its global
 slot without a table. Slots are range-partitioned, the ranges being known beforehand; each range writes its shards, files of unsigned
 16-bit little-endian ids in which slot s of a shard begins at (s mod shard size) * stride. A file is written aside,
-then moved in place, so a task that is run again leaves the same bytes; shards that stand already
-are not written again. The shards are written in WAVES, so that only a part of the ids stands in shuffle files at a time.
+then moved in place, so a task that is run again leaves the same bytes. The shards are written in WAVES,
+so that only a part of the ids stands in shuffle files at a time.
+
+A manifest beside the shards states what they hold: digests of key and tokenizer, lengths and a digest of the token
+table. Only under the same manifest do shards that stand already count as written; a folder of another
+manifest, or of shards without one, is refused or, if so asked, cleared.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from loomwork.shipping import ship
 
-from .common import parts, read, release, work_dir, written
+from .common import discard, parts, read, release, work_dir, written
 
 LENGTH, SHARD, ROUNDS, WAVES = 1024, 2048, 6, 3
 
@@ -163,26 +168,60 @@ def _write(rows: Iterator[pa.RecordBatch], where: str, length: int, shard_size:
         yield flush()
 
 
-def write_training_order(df: DataFrame, where: str, key: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_size: int = SHARD) -> DataFrame:
+MANIFEST = "manifest.json"
+
+
+def _claim(where: str, manifest: dict, overwrite: bool) -> None:
+    """Make the folder hold nothing but what the manifest states, or raise. Shards of the same manifest stay; what a lost task left aside goes."""
+    store, root = fs.FileSystem.from_uri(where)
+    store.create_dir(root, recursive=True)
+    names = {f.base_name: f for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File}
+    own = None
+    if MANIFEST in names:
+        with store.open_input_stream(names[MANIFEST].path) as stream:
+            own = json.loads(stream.read())
+    shards = {n for n in names if n.startswith("shard-")}
+    if own != manifest:
+        if (own is not None or shards) and not overwrite:
+            raise ValueError(f"{where} holds shards of another run; choose another folder or pass overwrite=True")
+        for name in shards:
+            store.delete_file(names[name].path)
+        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
+            out.write(json.dumps(manifest, indent=1).encode())
+    else:
+        for name in shards - {shard_name(i) for i in range(manifest["shards"])}:
+            store.delete_file(names[name].path)
+
+
+def write_training_order(
+    df: DataFrame, where: str, key: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_size: int = SHARD, overwrite: bool = False
+) -> DataFrame:
     """Write the shards below the URI where (a folder that all executors share) and return a row for each sequence:
     slot, seq, shard, byte_offset, n_tokens (without filling), ids_sha256 (of the bytes read back), doc_ids.
 
     Null and empty texts are one end-of-text id. Null ids and repeated rows stay. An empty table has no
-    sequence and no file. Other columns are not read.
+    sequence and no shard. Other columns are not read. A folder that holds another run's shards raises ValueError
+    or, with overwrite, is cleared; the same run again goes on where it stopped. A vocabulary whose ids and end-of-text
+    do not fit 16 bits raises ValueError.
     """
     spark = df.sparkSession
+    end = encoding(tokenizer).n_vocab
+    if end > 0xFFFF:
+        raise ValueError(f"the ids of a vocabulary of {end} do not fit 16 bits")
     ship(spark)
     tokens = written(_encoded(df, id_col, text_col, tokenizer), "ids", "zstd")
-    last = tokens.groupBy("part").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n")).orderBy("part").collect()
+    digest = F.sum(F.xxhash64("part", "at", "ids").cast("decimal(38,0)")).alias("h")
+    last = tokens.groupBy("part").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"), digest).orderBy("part").collect()
     bases, total = {}, 0
     for r in last:  # a row for each task of the scan
         bases[r.part] = total
         total += r.n
     size = -(-total // length)
     order = Permutation(key, max(1, size))
-    end = encoding(tokenizer).n_vocab
-    fs_store, root = fs.FileSystem.from_uri(where)
-    fs_store.create_dir(root, recursive=True)
+    with open(tokenizer, "rb") as ranks:
+        vocabulary = hashlib.file_digest(ranks, "sha256").hexdigest()
+    content = hashlib.sha256(json.dumps([(r.part, r.n, str(r.h)) for r in last]).encode()).hexdigest()
+    _claim(where, {"key_sha256": hashlib.sha256(key.encode()).hexdigest(), "tokenizer": vocabulary, "length": length, "shard_size": shard_size, "sequences": size, "shards": -(-size // shard_size), "tokens": content}, overwrite)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"slot long, seq long, shard long, byte_offset long, n_tokens long, ids_sha256 string, doc_ids array<{kind}>"
     shards, out = -(-size // shard_size), []
@@ -196,6 +235,7 @@ def write_training_order(df: DataFrame, where: str, key: str, tokenizer: str, id
         ranged = pieces.repartitionById(n, place).sortWithinPartitions("slot", "start")
         out.append(written(ranged.mapInArrow(lambda rows: _write(rows, where, length, shard_size, end), schema), "sequences"))
         release(spark)
+    discard(tokens)
     every = out[0]
     for more in out[1:]:
         every = every.unionByName(more)

@@ -46,3 +46,41 @@ def test_again_and_empty(spark):
     one, two = (write_training_order(df, where, "k", PATH, length=8, shard_size=2).collect() for _ in range(2))
     assert [(r.slot, r.ids_sha256) for r in one] == [(r.slot, r.ids_sha256) for r in two]
     assert write_training_order(df.limit(0), where + "-none", "k", PATH).count() == 0
+
+
+def _shas(spark, where, rows, key="k", **how):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.slot: r.ids_sha256 for r in write_training_order(df, where, key, PATH, length=8, shard_size=3, **how).collect()}
+
+
+def test_another_run_is_refused_or_cleared(spark):
+    """Shards of one size, so that sizes alone would not tell two runs apart."""
+    new = lambda: f"{work_dir(spark)}/order-{uuid.uuid4().hex}"
+    one = [(i, f"text number {i} of the first corpus") for i in range(20)]
+    two = [(i, f"text number {i} of the other corpus") for i in range(20)]
+    for rows, key in ((one, "other key"), (two, "k"), (one[:7], "k")):
+        where = new()
+        _shas(spark, where, one)
+        with pytest.raises(ValueError, match="another run"):
+            _shas(spark, where, rows, key)
+        got = _shas(spark, where, rows, key, overwrite=True)
+        assert got == _shas(spark, new(), rows, key)
+        assert len(list(read_sequences(where, 0, 8, 3))) == len(got)  # no shard of the longer corpus is left
+
+
+def test_a_stopped_run_goes_on(spark, tmp_path):
+    rows = [(i, f"text number {i} of the first corpus") for i in range(20)]
+    want = _shas(spark, f"file://{tmp_path}", rows)
+    (tmp_path / "shard-00000001.u16").unlink()
+    (tmp_path / "shard-00000002.u16.0123").write_bytes(b"left by a lost task")
+    assert _shas(spark, f"file://{tmp_path}", rows) == want
+    assert not list(tmp_path.glob("*.0123"))
+
+
+def test_wide_vocabulary_is_refused(spark, monkeypatch):
+    class Wide:
+        n_vocab = 70_000
+
+    monkeypatch.setattr("loomwork.llm.training_order.encoding", lambda path: Wide)
+    with pytest.raises(ValueError, match="16 bits"):
+        write_training_order(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "file:///tmp/none", "k", PATH)
