@@ -5,13 +5,14 @@ holds the places where a suffix can match: those followed by as many benchmark w
 They are sorted to the depth of a window, as packed integers. Every suffix of every benchmark item is
 binary-searched in each shard; a match is then followed word by word to its full length.
 
-The benchmark is the query set. It is read in blocks of at most BLOCK_BYTES of text, each broadcast
-on its own; what several blocks find in a document is merged.
+The benchmark is the query set. It is dealt into blocks of at most BLOCK_BYTES of text (or one longer item), each
+broadcast on its own. A task takes every shard through all blocks, one of them in memory at a time, and merges
+what they find; the result does not depend on how many there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomwork.shipping import ship
 
-from .common import ascii_lower, read, trim, written
+from .common import discard, read, texts, trim, written
 
 WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 1_000_000, 32_000_000
 #: A-Z become a-z; all other bytes but digits, a-z and those above 0x7F part words.
@@ -35,6 +36,7 @@ class Benchmark:
     """Word numbers of the items, and their windows by length."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+        items = sorted(items, key=lambda x: x[0])  # of equal matches the least name wins
         self.names = [name for name, _ in items]
         lists = [words(text) for _, text in items]
         self.number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in lists for w in ws), 1)}
@@ -119,25 +121,56 @@ class Benchmark:
         return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> list[list[tuple[str, str]]]:
-    """Items by block. The whole benchmark passes through the driver, one partition at a time."""
-    blocks, held = [[]], 0
-    for name, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        if held > size:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((name, text))
-        held += len(text or "")
-    return blocks
-
-
-def find_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The distinct items by block, one block on the driver at a time. Blocks go by hash; their number grows until each keeps to size or is one item."""
+    item = F.coalesce(F.col(item_col).cast("string"), F.lit(""))
+    items = benchmark.select(item.alias("name"), F.col(text_col).alias("text")).distinct().withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)))
+    items = written(items.withColumn("h", F.xxhash64("name", "text")), "benchmark")
+    n = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // size))
+    block = lambda: F.pmod(F.col("h"), F.lit(n))
+    while not items.groupBy(block().alias("b")).agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("m")).where((F.col("s") > size) & (F.col("m") > 1)).isEmpty():
+        n *= 2
+    own = written(items.withColumn("block", block()).repartitionByRange("block").sortWithinPartitions("block"), "blocks")
+    discard(items)
+    for b in sorted(r.block for r in own.select("block").distinct().collect()) or [0]:  # a row a block
+        yield [(r.name, r.text) for r in own.where(F.col("block") == b).select("name", "text").collect()]
+    discard(own)
+
+
+Found = tuple[list[list[int]], set[str], tuple[int, str, int] | None]
+
+
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """Sorted spans, those that touch or overlap made one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def search_blocks(docs: list[list[bytes]], blocks: Iterable[Benchmark]) -> list[Found]:
+    """Spans, item names and the longest match (words, name, place) of each document over all blocks; of equal matches the least name, then place."""
+    out: list[Found] = [([], set(), None) for _ in docs]
+    for bench in blocks:
+        for i, (spans, items, best) in enumerate(bench.search(docs)):
+            if best:
+                own = best[0], bench.names[best[1]], best[2]
+                held = out[i]
+                held[1].update(bench.names[k] for k in items)
+                out[i] = (held[0] + spans, held[1], min((x for x in (held[2], own) if x), key=lambda x: (-x[0], x[1], x[2])))
+    return [(merged(spans), names, best) for spans, names, best in out]
+
+
+def find_benchmark(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df's columns, then n_words, hits (spans of word positions inside windows), items (sorted strings),
-    longest (words of the longest verbatim match, 0 if none), longest_item, longest_at (first word).
+    longest (words of the longest verbatim match, 0 if none), longest_item (of equal matches the least item as a string), longest_at (first word).
 
     A window is WINDOW consecutive words of an item, or the whole of a shorter one that has words. Null
     and empty texts have no words; repeated rows each have their result; with an empty benchmark nothing
-    is hit. Columns of df with the new names are replaced. Null item ids count as the item ''.
+    is hit. Columns of df with the new names are replaced. Null item ids count as the item ''; items that agree in id and text are one.
     """
     ship(df.sparkSession)
     spark = df.sparkSession
@@ -146,64 +179,43 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     names = [c for c in df.columns if c not in added]
     kind = pa.list_(pa.list_(pa.int64()))
 
-    def scan(source: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Benchmark([(n or "", t) for n, t in block]))
-        columns = source.columns
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = shared.value
-            for batch in batches:
-                at, texts = 0, batch.column(text_col).to_pylist()
-                while at < len(texts):
-                    docs, held, begin = [], 0, at
-                    while at < len(texts) and (not docs or held < SHARD_WORDS):
-                        docs.append(words(texts[at]))
-                        held += len(docs[-1])
-                        at += 1
-                    got = bench.search(docs)
-                    rows = [
-                        (len(ws), spans, sorted({bench.names[i] for i in items}), best[0] if best else 0, bench.names[best[1]] if best else None, best[2] if best else None)
-                        for ws, (spans, items, best) in zip(docs, got, strict=True)
-                    ]
-                    kinds = [pa.int64(), kind, pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64()]
-                    extra = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                    part = batch.slice(begin, at - begin)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *extra], [*columns, *added])
-            trim()
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-        return source.mapInArrow(run, f"{schema}, {new}")
-
-    blocks = _blocks(benchmark, item_col, item_text, block_bytes)
+    blocks = [spark.sparkContext.broadcast(Benchmark(items)) for items in _blocks(benchmark, item_col, item_text, block_bytes)]
+
+    def loaded() -> Iterator[Benchmark]:
+        for shared in blocks:
+            yield shared.value
+            if len(blocks) > 1:
+                shared.__dict__.pop("_value", None)  # read again from the executor's disk when its turn comes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, source = 0, texts(batch.column(text_col))
+            while begin < len(batch):
+                docs, held = [], 0
+                while begin + len(docs) < len(batch) and (not docs or held < SHARD_WORDS):
+                    docs.append(words(next(source)))
+                    held += len(docs[-1])
+                rows = [(len(ws), spans, sorted(own), *(best or (0, None, None))) for ws, (spans, own, best) in zip(docs, search_blocks(docs, loaded()), strict=True)]
+                kinds = [pa.int64(), kind, pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64()]
+                extra = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+                part = batch.slice(begin, len(docs))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *extra], [*names, *added])
+                begin += len(docs)
+        trim()
+
     source = df.select(*names)
-    if len(blocks) == 1:
-        return scan(source, blocks[0])
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
-    slim = source.select(key.alias("__key"), text_col).dropDuplicates(["__key"])
-    found = [written(scan(slim, block).where("size(items) > 0").drop(text_col, "n_words"), "leaks") for block in blocks]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    # the longest match: most words, then least item, then first place
-    best = F.min(F.struct((-F.col("longest")).alias("l"), "longest_item", "longest_at"))
-    merged = every.groupBy("__key").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b"))
-    spot = merged.select("__key", F.explode("hits").alias("s")).select("__key", F.explode(F.sequence(F.col("s")[0], F.col("s")[1] - 1)).alias("p")).distinct()
-    spans = spot.groupBy("__key").agg(F.array_sort(F.collect_list("p")).alias("p")).select("__key", F.transform("p", lambda p: F.array(p, p + 1)).alias("hits"))
-    merged = merged.drop("hits").join(spans, "__key").select("__key", "hits", "items", (-F.col("b.l")).alias("longest"), "b.longest_item", "b.longest_at")
-    n = F.size(F.filter(F.split(F.regexp_replace(ascii_lower(F.col(text_col)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " "), lambda w: w != "")).cast("long")
-    whole = source.withColumn("__own", key).join(merged, F.col("__own") == F.col("__key"), "left")
-    empty = {"hits": F.array().cast("array<array<long>>"), "items": F.array().cast("array<string>"), "longest": F.lit(0).cast("long")}
-    return whole.select(*names, F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_words"), *(F.coalesce(c, empty[c]).alias(c) if c in empty else F.col(c) for c in added[1:]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    return source.mapInArrow(run, f"{schema}, {new}")
 
 
 def n_hit() -> F.Column:
     return F.aggregate("hits", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
 
 
-def remove_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_benchmark(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df in which no benchmark window occurs, with df's columns."""
     number = {c: f"__{i}" for i, c in enumerate(df.columns)}  # so that no name can clash
-    found = find_benchmark(df.toDF(*number.values()), benchmark, number[id_col], number[text_col])
+    found = find_benchmark(df.toDF(*number.values()), benchmark, number[text_col])
     return found.where(F.size("items") == 0).select(*(F.col(n).alias(c) for c, n in number.items()))
 
 

@@ -59,3 +59,24 @@ def test_removal(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(x[0]) for x in brute(rows, items) if not x[3])
     assert remove_benchmark(df, spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
     assert find_benchmark(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).select(F.col("items")).count() == 0
+
+
+def test_blocks_do_not_show(spark):
+    """Spans, items and longest match with its item and place are the same however the benchmark is dealt."""
+    rows, items = planted()
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows += [(600, f"x {line} y {line}"), (601, line)]
+    items += [(9, line), (10, line), (9, line), (None, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    fields = ("doc_id", "n_words", "hits", "items", "longest", "longest_item", "longest_at")
+    one, many = (sorted((str([r[f] for f in fields]) for r in find_benchmark(df, bench, block_bytes=b).collect())) for b in (32_000_000, 10))
+    assert one == many
+    best = {r.doc_id: (r.longest_item, r.longest_at, r.hits) for r in find_benchmark(df, bench, block_bytes=10).where("doc_id >= 600").collect()}
+    assert best == {600: ("10", 1, [[1, 13], [14, 26]]), 601: ("10", 0, [[0, 12]])}
+
+
+def test_driver_holds_a_block_at_a_time(spark):
+    items = [(i, "w " * (20 if i else 200)) for i in range(40)]
+    sizes = [[len(t) for _, t in b] for b in decontaminate._blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 100)]
+    assert sum(map(len, sizes)) == 40 and all(sum(b) <= 100 or len(b) == 1 for b in sizes)
