@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free_names, read
 
 SPAN = 3
 
@@ -39,22 +39,23 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text and keep the same lines; a null id comes before all others. Columns of df named n_lines or
     n_removed are replaced. A text of which all lines go becomes empty; no row is dropped.
     """
+    i, th, s, l, k, m = free_names(df, "__id", "__th", "__s", "__l", "__k", "__n")
     windows = _windows(df, id_col, text_col)
     here = F.struct("id", "th", "pos")
     first = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).where("n > 1").drop("n")
     later = windows.join(first, ["h", "g"]).where(~here.eqNullSafe(F.col("first")))
-    starts = later.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.array_sort(F.collect_set("pos")).alias("__s"))
-    joined = df.join(starts, df[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(df[text_col]) == F.col("__th")), "left")
+    starts = later.groupBy(F.col("id").alias(i), F.col("th").alias(th)).agg(F.array_sort(F.collect_set("pos")).alias(s))
+    joined = df.join(starts, df[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(df[text_col]) == F.col(th)), "left")
     lines = F.split(df[text_col], "\n", -1)
     n = F.when(df[text_col].isNull(), 0).otherwise(F.size(lines))
-    begin = F.concat(F.array(F.lit(0)), F.transform("__s", lambda s: s + SPAN))
-    end = F.concat(F.col("__s"), F.array(n))
-    kept = F.flatten(F.zip_with(begin, end, lambda a, b: F.when(b > a, F.slice(F.col("__l"), a + 1, b - a)).otherwise(F.array().cast("array<string>"))))
-    out = joined.withColumn("__l", F.when(F.col("__s").isNotNull(), lines)).withColumn("__k", F.when(F.col("__s").isNotNull(), kept)).withColumn("__n", n)
+    begin = F.concat(F.array(F.lit(0)), F.transform(s, lambda p: p + SPAN))
+    end = F.concat(F.col(s), F.array(n))
+    kept = F.flatten(F.zip_with(begin, end, lambda a, b: F.when(b > a, F.slice(F.col(l), a + 1, b - a)).otherwise(F.array().cast("array<string>"))))
+    out = joined.withColumn(l, F.when(F.col(s).isNotNull(), lines)).withColumn(k, F.when(F.col(s).isNotNull(), kept)).withColumn(m, n)
     names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    text = F.when(F.col("__s").isNull(), df[text_col]).otherwise(F.array_join("__k", "\n")).alias(text_col)
-    removed = F.when(F.col("__s").isNull(), 0).otherwise(F.col("__n") - F.size("__k")).cast("long").alias("n_removed")
-    return out.select(*(text if c == text_col else df[c] for c in names), F.col("__n").cast("long").alias("n_lines"), removed)
+    text = F.when(F.col(s).isNull(), df[text_col]).otherwise(F.array_join(k, "\n")).alias(text_col)
+    removed = F.when(F.col(s).isNull(), 0).otherwise(F.col(m) - F.size(k)).cast("long").alias("n_removed")
+    return out.select(*(text if c == text_col else df[c] for c in names), F.col(m).cast("long").alias("n_lines"), removed)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
