@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,8 +26,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     known = None
     while True:
-        edges = written(_star(_star(edges, True), False), "edges")
+        last, edges = edges, written(_star(_star(edges, True), False), "edges")
+        discard(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == known:
-            return edges.select(F.col("a").alias("key"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("component")).distinct())
+            label = written(edges.select(F.col("a").alias("key"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("component")).distinct()), "components")
+            discard(edges)
+            return label
         known = state

@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 from loomwork.shipping import ship
 
-from .common import LOWER, parts, read, release, texts, trim, written
+from .common import LOWER, discard, free_names, read, release, texts, trim, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
-#: Bytes of input for each part of the hash range, least number of parts, and n-grams of a block.
-PART_BYTES, LEAST_PARTS, BLOCK = 8 << 20, 64, 1_000_000
-#: Words that a worker keeps, rounds with leaders, longest list whose members meet in pairs, classes and n-grams of a matrix.
-KEPT_WORDS, ROUNDS, SHORT, SIDE, COLUMNS = 200_000, 3, 48, 512, 4096
+#: Bytes of text for each part of the hash range, least number of parts, and n-grams of a block.
+PART_BYTES, LEAST_PARTS, BLOCK = 16 << 20, 64, 1_000_000
+#: Words that a worker keeps, rounds with leaders, longest list whose members meet in pairs, classes and n-grams of a matrix, salts of a component.
+KEPT_WORDS, ROUNDS, SHORT, SIDE, COLUMNS, SALTS = 200_000, 3, 48, 512, 4096, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _known: dict[bytes, int] = {}
@@ -86,11 +86,10 @@ def unpack(data: bytes, size: int, part: int, bits: int) -> np.ndarray:
     return (h & np.uint64((1 << (64 - bits)) - 1)) | np.uint64(part << (64 - bits)) if bits else h
 
 
-def part_bits(df: DataFrame) -> int:
-    """log2 of the number of parts, from the size that the plan states for its input."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n = max(LEAST_PARTS, size // PART_BYTES if size < 1 << 55 else 4 * parts(df.sparkSession))
-    return min(24, (n - 1).bit_length())
+def part_bits(df: DataFrame, text_col: str, part_bytes: int = PART_BYTES) -> int:
+    """log2 of the number of parts, from the bytes of text."""
+    size = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return min(24, (max(LEAST_PARTS, size // part_bytes) - 1).bit_length())
 
 
 BLOB = "kind int, part int, key long, n int, keys binary, counts binary, hashes binary, dfs binary"
@@ -311,7 +310,7 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, key, n) of each row, and (key, component) of each class that links with another class."""
     ship(df.sparkSession)
     spark = df.sparkSession
-    bits = part_bits(df)
+    bits = part_bits(df, text_col)
     blobs = f"id {df.schema[id_col].dataType.simpleString()}, {BLOB}"
     sets = _cut_sets(df, id_col, text_col, n, bits)
     shared = written(sets.groupBy("part").applyInArrow(lambda t: _of_part(t, bits), blobs), "ngrams")
@@ -324,8 +323,8 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
     prefix = classes.where("prefix is not null").select("key", "n", F.explode(F.arrays_zip("prefix", "depths")).alias("p")).select(F.col("p.prefix").alias("h"), "key", "n", F.col("p.depths").alias("d"))
     prefix = written(prefix, "prefixes")
-    links = spark.createDataFrame([], "a long, b long")
     label = spark.createDataFrame([], "key long, component long")
+    rest = None
     for turn in range(ROUNDS + 2):
         open_ = prefix.join(label, "key", "left").select("h", "key", "n", "d", F.coalesce("component", "key").alias("c"))
         leader = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("x"), "key", "n", "d", "c")).alias("l")
@@ -338,11 +337,14 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             one, two = (rest.select("h", *(F.col(c).alias(f"{c}{s}") for c in ("key", "n", "d", "c"))) for s in ("1", "2"))
             met = one.join(two, "h").where("key1 < key2 and c1 <> c2").select(F.col("key1").alias("a"), F.col("n1").alias("na"), F.col("d1").alias("da"), F.col("key2").alias("b"), F.col("n2").alias("nb"), F.col("d2").alias("db"))
         if turn <= ROUNDS:
-            new = _links(written(met.where(_fits(percent)).select("a", "na", "b", "nb").distinct(), "pairs"), classes, percent)
+            pairs = written(met.where(_fits(percent)).select("a", "na", "b", "nb").distinct(), "pairs")
+            new = written(_links(pairs, classes, percent), "links")
+            discard(pairs)
         else:
-            new = _long_lists(rest, classes, percent)
-        links = links.unionByName(written(new, "links"))
-        label = written(components(links), "components")
+            new = written(_long_lists(rest, classes, percent), "links")
+        last, label = label, components(label.select(F.col("key").alias("a"), F.col("component").alias("b")).unionByName(new))
+        discard(last, new, rest)
+    discard(classes, prefix)
     release(spark)
     return rows, label
 
@@ -357,9 +359,13 @@ def link_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """
     rows, label = ngram_classes(df, id_col, text_col, n, percent)
     least = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("m"))
-    named = least.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    names = named.groupBy("component").agg(F.min("m").alias("component_id"))
-    classes = named.join(names, "component").select(F.col("key").alias("k"), "component_id")
+    named = least.join(label, "key", "left")
+    # a component may hold a third of all classes: its classes are salted, and its name stands once for each salt
+    linked = named.where("component is not null").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    names = linked.groupBy("component").agg(F.min("m").alias("component_id"))
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = linked.join(names, ["component", "salt"]).select(F.col("key").alias("k"), "component_id")
+    classes = classes.unionByName(named.where("component is null").select(F.col("key").alias("k"), F.col("m").alias("component_id")))
     whole = rows.join(classes, F.col("key") == F.col("k"), "left")
     return whole.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -371,9 +377,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     names = df.columns
     slim = df.select(F.struct(F.col(id_col).alias("id"), spot[0].alias("h"), spot[1].alias("g")).alias("id"), F.col(text_col).alias("text"))
     linked = link_ngrams(slim, "id", "text", n, percent)
-    stay = linked.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id.h").alias("__h"), F.col("id.g").alias("__g")).distinct()
-    marked = df.withColumn("__h", spot[0]).withColumn("__g", spot[1])
-    return marked.join(stay, ["__h", "__g"], "left_semi").dropDuplicates(["__h", "__g"]).select(*names)
+    h, g = free_names(df, "__h", "__g")
+    stay = linked.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id.h").alias(h), F.col("id.g").alias(g)).distinct()
+    marked = df.withColumn(h, spot[0]).withColumn(g, spot[1])
+    return marked.join(stay, [h, g], "left_semi").dropDuplicates([h, g]).select(*names)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
