@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm.bpe import encode_decode
-from loomwork.llm.common import read, written
+from loomwork.llm.common import discard, free_names, read, written
 from loomwork.llm.decontaminate import remove_benchmark
 from loomwork.llm.jaccard import keep_one
 from loomwork.llm.lines import dedup_lines
@@ -21,8 +21,8 @@ from loomwork.llm.toxicity import THRESHOLD, score_toxicity, train_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold."""
     model = train_toxicity(docs, read(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs, model, score_col="__score")
-    return scored.where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    (score,) = free_names(docs, "__score")
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)

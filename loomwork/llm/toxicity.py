@@ -32,7 +32,12 @@ TOXIC_ROWS, CLEAN_ROWS, TOXIC_BYTES, CLEAN_BYTES = 2500, 6000, 6_000_000, 15_000
 STRETCH, GRAMS, BUCKETS, WIDTH, EPOCHS, STEPS, BATCH, RATE, SEED = 32, (3, 4, 5), 1 << 18, 8, 6, 4000, 256, 0.3, 7
 THRESHOLD, KEPT_WORDS, RUN_CHARS = 0.3, 250_000, 1_000_000
 
-find = re.compile(r"[^\W\d_]+").findall
+_runs = re.compile(r"[^\W_]+").findall
+
+
+def find(text: str) -> list[str]:
+    """Runs of letters and digits that are not digits alone: a digit in place of a letter does not part a word."""
+    return [w for w in _runs(text) if not w.isdigit()]
 
 
 def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +128,28 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     return model and calibrated(model, texts[::5], labels[::5])
 
 
+def gradients(table: np.ndarray, soft: np.ndarray, bias: np.ndarray, token: np.ndarray, n: np.ndarray, of: tuple, label: np.ndarray, weight: np.ndarray) -> tuple:
+    """Of the weighted mean cross-entropy of stretches: token, the words of all stretches one after another, n of each; of, the rows of
+    every word, how many and where they begin. Returns the rows touched, their gradient, and those of the softmax and its bias."""
+    rows, count, first = of
+    words, place = np.unique(token, return_inverse=True)
+    m = count[words]
+    own = np.repeat(np.arange(len(words)), m)
+    row = rows[np.repeat(first[words] - (np.cumsum(m) - m), m) + np.arange(len(own))]
+    vectors = np.add.reduceat(table[row], np.cumsum(m) - m) / m[:, None]
+    mean = np.add.reduceat(vectors[place], np.cumsum(n) - n) / n[:, None]
+    z = mean @ soft + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(n)), label] -= 1
+    p *= weight[:, None] / len(n)
+    down, stretch = p @ soft.T / n[:, None], np.repeat(np.arange(len(n)), n)
+    to_word = np.stack([np.bincount(place, down[stretch, d], len(words)) for d in range(soft.shape[0])], axis=1) / m[:, None]
+    touched, spot = np.unique(row, return_inverse=True)
+    grad = np.stack([np.bincount(spot, to_word[own, d], len(touched)) for d in range(soft.shape[0])], axis=1)
+    return touched, grad, mean.T @ p, p.sum(axis=0)
+
+
 def train(texts: list[str], labels: list[int]) -> Model | None:
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
@@ -168,26 +195,11 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
             short = (label[b] == 0) & (rng.random(len(b)) < 0.6)  # every part of a clean text is clean, down to a word
             part = np.where(short, np.minimum(n, 1 << rng.integers(0, 5, len(b))), n)
             n, at = part, at + rng.integers(0, n - part + 1)
-            stretch = np.repeat(np.arange(len(b)), n)
-            token = flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(len(stretch))]
-            words, place = np.unique(token, return_inverse=True)
-            m = count[words]
-            own = np.repeat(np.arange(len(words)), m)
-            row = rows[np.repeat(first[words] - (np.cumsum(m) - m), m) + np.arange(len(own))]
-            vectors = np.add.reduceat(table[row], np.cumsum(m) - m) / m[:, None]
-            mean = np.add.reduceat(vectors[place], np.cumsum(n) - n) / n[:, None]
-            z = mean @ soft + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(b)), label[b]] -= 1
-            p *= weight[b, None] / len(b)
-            down = p @ soft.T / n[:, None]
-            to_word = np.stack([np.bincount(place, down[stretch, d], len(words)) for d in range(WIDTH)], axis=1) / m[:, None]
-            touched, spot = np.unique(row, return_inverse=True)
-            grad = np.stack([np.bincount(spot, to_word[own, d], len(touched)) for d in range(WIDTH)], axis=1)
+            token = flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            touched, grad, to_soft, to_bias = gradients(table, soft, bias, token, n, (rows, count, first), label[b], weight[b])
             seen[touched] += (grad**2).mean(axis=1)
             table[touched] -= (rate * grad / np.sqrt(seen[touched])[:, None]).astype(np.float32)
-            for value, g, total in ((soft, mean.T @ p, soft_seen), (bias, p.sum(axis=0), bias_seen)):
+            for value, g, total in ((soft, to_soft, soft_seen), (bias, to_bias, bias_seen)):
                 total += g**2
                 value -= rate * 0.3 * g / np.sqrt(total)
     return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
@@ -196,24 +208,25 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: F.Column) -> tuple[list[str], list[int]]:
     """Texts and labels of labelled rows, in the order of a hash of their ids, up to the bounds above."""
     ids = []
-    marked = labels.where(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropDuplicates(["__id"])
+    marked = labels.where(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
     for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
-        ids.append(marked.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n))
+        ids.append(marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n))
     chosen = ids[0].unionByName(ids[1])  # TOXIC_ROWS + CLEAN_ROWS rows at most
-    joined = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"])
-    sizes = joined.groupBy("__id", "__y").agg(F.max(F.octet_length(text_col)).alias("n")).collect()
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = slim.join(F.broadcast(chosen), "id")
+    sizes = joined.groupBy("id", "y").agg(F.max(F.octet_length("text")).alias("n")).collect()
     share = {1: TOXIC_BYTES, 0: CLEAN_BYTES}
     taken = []
-    for r in sorted(sizes, key=lambda r: zlib.crc32(str(r["__id"]).encode())):
-        if (r.n or 0) <= share[r["__y"]]:
-            share[r["__y"]] -= r.n or 0
-            taken.append((r["__id"],))
+    for r in sorted(sizes, key=lambda r: zlib.crc32(str(r.id).encode())):
+        if (r.n or 0) <= share[r.y]:
+            share[r.y] -= r.n or 0
+            taken.append((r.id,))
     if not taken:
         return [], []
-    few = docs.sparkSession.createDataFrame(taken, chosen.select("__id").schema)
-    rows = joined.join(F.broadcast(few), "__id", "left_semi").groupBy("__id", "__y").agg(F.min(text_col).alias("t")).collect()
-    rows.sort(key=lambda r: str(r["__id"]))
-    return [r.t or "" for r in rows], [r["__y"] for r in rows]
+    few = docs.sparkSession.createDataFrame(taken, chosen.select("id").schema)
+    rows = joined.join(F.broadcast(few), "id", "left_semi").groupBy("id", "y").agg(F.min("text").alias("t")).collect()
+    rows.sort(key=lambda r: str(r.id))
+    return [r.t or "" for r in rows], [r.y for r in rows]
 
 
 def score_toxicity(df: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
