@@ -24,21 +24,29 @@ def mahalanobis(v: Column, mean: Column, sd: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(z, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
 
 
+def vector_sums(points: DataFrame, by: str, squares: bool = True) -> DataFrame:
+    """(by, n, s, ss): count and sums, with squares also of squares, by dimension; vectors of a group have one length. Sums of each
+    dimension are columns of one aggregate, so a vector is no more than a row."""
+    first = points.select(F.size("v").alias("n")).first()
+    dims = range(first.n if first else 0)
+    columns = [F.sum(F.col("v")[i]).alias(f"s{i}") for i in dims] + [F.sum(F.col("v")[i] * F.col("v")[i]).alias(f"q{i}") for i in dims if squares]
+    wide = points.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *columns)
+    whole = lambda c: F.array(*(F.col(f"{c}{i}") for i in dims)).cast("array<double>")
+    return wide.select(by, "n", whole("s").alias("s"), *[whole("q").alias("ss")] * squares)
+
+
 def summaries(points: DataFrame, by: str) -> DataFrame:
     """(by, n, mean, sd) of each group, from sums and sums of squares by dimension."""
-    x = points.select(by, F.posexplode("v").alias("dim", "x"))
-    s = x.groupBy(by, "dim").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    mean = F.col("s") / F.col("n")
-    s = s.select(by, "dim", "n", mean.alias("m"), F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean)).alias("d"))
-    whole = s.groupBy(by).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("dim", "m", "d"))).alias("l"))
-    return whole.select(by, "n", F.col("l.m").alias("mean"), F.col("l.d").alias("sd"))
+    mean = F.transform("s", lambda x: x / F.col("n"))
+    sd = F.transform(F.arrays_zip("s", "ss"), lambda p: F.sqrt(F.greatest(F.lit(0.0), p["ss"] / F.col("n") - (p["s"] / F.col("n")) * (p["s"] / F.col("n")))))
+    return vector_sums(points, by).select(by, "n", mean.alias("mean"), sd.alias("sd"))
 
 
 def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
     """(id, cluster, d): the centre (cluster, mean) at the least distance, the lower number of equals. Centres are k rows, k being a parameter."""
-    d = distance(F.col("v"), F.col("mean"))
-    crossed = points.crossJoin(F.broadcast(centres.select("cluster", "mean"))).withColumn("d", d)
-    return crossed.groupBy("id").agg(F.min(F.struct("d", "cluster")).alias("m")).select("id", F.col("m.cluster").alias("cluster"), F.col("m.d").alias("d"))
+    near = F.array_min(F.transform("__c", lambda c: F.struct(distance(F.col("v"), c["mean"]).alias("d"), c["cluster"].alias("cluster"))))
+    one = centres.agg(F.collect_list(F.struct("cluster", "mean")).alias("__c"))  # all centres in one row: no shuffle of points
+    return points.crossJoin(F.broadcast(one)).select("id", near.alias("m")).where("m is not null").select("id", F.col("m.cluster").alias("cluster"), F.col("m.d").alias("d"))
 
 
 def nearest_wide(points: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFrame:
@@ -48,14 +56,20 @@ def nearest_wide(points: DataFrame, centres: list[tuple[int, list[float]]]) -> D
 
 
 def kmeans(points: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(assignment (id, cluster), centres (cluster, mean)) after so many rounds from seeds (cluster, mean). A cluster that
-    loses its points keeps its centre; the assignment is one last pass over the final centres."""
-    centres = seeds.select("cluster", "mean")
-    for _ in range(rounds):
-        labelled = points.join(nearest(points, centres).select("id", "cluster"), "id")
-        moved = summaries(labelled, "cluster").select("cluster", F.col("mean").alias("m"))
-        centres = centres.join(moved, "cluster", "left").select("cluster", F.coalesce("m", "mean").alias("mean"))
-    return nearest(points, centres).select("id", "cluster"), centres
+    """(assignment (id, cluster), centres (cluster, mean)) after so many rounds from seeds (cluster, mean), or fewer if no centre moves any
+    more. A cluster that loses its points keeps its centre; the assignment is one last pass over the final centres.
+
+    A round is one pass over the points and one aggregate; the k centres, k being a parameter, pass through the driver, so the plan does
+    not grow with the rounds."""
+    centres = sorted((r.cluster, list(r["mean"])) for r in seeds.select("cluster", "mean").collect())
+    for _ in range(rounds if centres else 0):
+        sums = vector_sums(nearest_wide(points, centres), "cluster", squares=False)
+        moved = {r.cluster: [x / r.n for x in r.s] for r in sums.collect()}
+        last, centres = centres, [(c, moved.get(c, m)) for c, m in centres]
+        if last == centres:
+            break
+    table = points.sparkSession.createDataFrame(centres, "cluster int, mean array<double>")
+    return (nearest_wide(points, centres).select("id", "cluster") if centres else points.select("id", F.lit(None).cast("int").alias("cluster"))), table
 
 
 class Bfr:
@@ -76,13 +90,7 @@ class Bfr:
 
     @staticmethod
     def _sums(points: DataFrame) -> dict[int, list]:
-        x = points.select("cluster", F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-        out: dict[int, list] = {}
-        for r in x.orderBy("cluster", "dim").collect():  # clusters times dimensions
-            out.setdefault(r.cluster, [r.n, [], []])
-            out[r.cluster][1].append(r.s)
-            out[r.cluster][2].append(r.ss)
-        return out
+        return {r.cluster: [r.n, list(r.s), list(r.ss)] for r in vector_sums(points, "cluster").collect()}  # clusters
 
     def _add(self, into: dict[int, list], new: dict[int, list]) -> None:
         for c, (n, s, ss) in new.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import checkpoint_dir
+from ..scratch import checkpoint_dir, discard, written
 
 #: Rounds after which an iteration is checkpointed, where the context has a folder for it.
 EVERY = 5
@@ -40,6 +40,7 @@ def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
     """(node, pr) after so many rounds from the uniform start; every node of an undirected graph has a neighbour. The shuffle by node of the edges is the
     same in every round."""
+    edges = written(edges, "edges")
     deg = degrees(edges)
     n = deg.agg(F.count(F.lit(1)).alias("nodes"))
     out = edges.join(deg.withColumnRenamed("node", "src"), "src")
@@ -51,9 +52,10 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFra
 
 
 def _fixed(edges: DataFrame, start: DataFrame, value: str, sent: Column) -> DataFrame:
-    """start (node, value) after rounds until no value falls. Only nodes whose value fell send it in the next round. Each round is
-    checkpointed, as the next one reads it twice."""
+    """start (node, value) after rounds until no value falls. Only nodes whose value fell send it in the next round. Edges and rounds are
+    written, as they are read again."""
     checkpoint_dir(edges.sparkSession)
+    edges = written(edges, "edges")
     known = fallen = start.select("node", value)
     while True:
         heard = fallen.withColumnRenamed("node", "src").join(edges, "src").select(F.col("dst").alias("node"), sent.alias(value), F.lit(None).alias("__was"))
@@ -62,6 +64,7 @@ def _fixed(edges: DataFrame, start: DataFrame, value: str, sent: Column) -> Data
         rows.unpersist()
         known, fallen = new.select("node", value), new.where(F.col("__was").isNull() | (F.col(value) < F.col("__was"))).select("node", value)
         if fallen.isEmpty():
+            discard(edges)
             return known
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard, written
+
 
 def baskets(df: DataFrame, key: str, item: str, more_than: int = 0) -> DataFrame:
     """(key, items): the sorted set of each key with more than so many items."""
@@ -12,39 +14,82 @@ def baskets(df: DataFrame, key: str, item: str, more_than: int = 0) -> DataFrame
     return sets.where(F.size("items") > more_than)
 
 
+def _least(rows: DataFrame, share: float | None, support: int | None) -> DataFrame:
+    """One row (least): the count that a frequent set needs."""
+    if share is None:
+        return rows.sparkSession.range(1).select(F.lit(support).alias("least"))
+    return rows.agg((F.count_distinct("key") * share).alias("least"))
+
+
+def _kept(found: DataFrame, least: DataFrame) -> DataFrame:
+    """(items, n) of found (key, items) rows that are enough. Counts are partial before the shuffle."""
+    counts = found.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(F.broadcast(least)).where(F.col("n") >= F.col("least")).select("items", "n")
+
+
+def candidates(level: DataFrame, size: int) -> DataFrame:
+    """(items): sets of one item more than those of level (items of size - 1), each of whose parts of one item less is in level. Two sets that
+    agree but in their last item make one; of its parts these two are known, the others are looked up."""
+    prefix = F.slice("items", 1, size - 2)
+    one = level.select(prefix.alias("p"), F.element_at("items", -1).alias("x"))
+    two = level.select(prefix.alias("p"), F.element_at("items", -1).alias("y"))
+    made = one.join(two, "p").where("x < y").select(F.concat("p", F.array("x", "y")).alias("items"))
+    for drop in range(1, size - 1):
+        part = F.concat(F.slice("items", 1, drop - 1), F.slice("items", drop + 1, size - drop))
+        made = made.withColumn("part", part).join(level.select(F.col("items").alias("part")), "part", "left_semi").select("items")
+    return made
+
+
+def apriori(rows: DataFrame, share: float | None = None, support: int | None = None, most: int | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of distinct rows (key, item), the frequent itemsets (items, n) of each size from 1, up to size most or till none is left, and
+    the candidates (items) of each size.
+
+    A basket is never unfolded into subsets. What a basket holds of one size, rows (key, items), meets the candidates by all
+    items but the last, and the candidate's last item is looked up in the basket; only candidates that stand in a basket are rows.
+    Each size is written in the shared folder, as the next one reads it three times."""
+    least = written(_least(rows, share, support), "least")
+    single = rows.select("key", F.array("item").alias("items"))
+    levels, tried = [written(_kept(single, least), "level")], [rows.select(F.array("item").alias("items")).distinct()]
+    inside = rows.join(levels[0].select(F.col("items")[0].alias("item")), "item", "left_semi").select("key", "item")
+    held, size, tables = inside.select("key", F.array("item").alias("items")), 1, []
+    while (most is None or size < most) and not levels[-1].isEmpty():
+        size += 1
+        asked = written(candidates(levels[-1], size), "candidates")
+        by_prefix = asked.select(F.slice("items", 1, size - 1).alias("items"), F.element_at("items", -1).alias("item"))
+        grown = held.join(by_prefix, "items").join(inside, ["key", "item"]).select("key", F.concat("items", F.array("item")).alias("items"))
+        grown = written(grown, "held")
+        levels.append(written(_kept(grown, least), "level"))
+        tried.append(asked)
+        held = grown.join(levels[-1].select("items"), "items", "left_semi").select("key", "items")
+        tables.append(grown)
+        discard(*tables[:-1])
+        tables = tables[-1:]
+    discard(*tables, least)
+    return levels, tried
+
+
+def unfolded(sets: DataFrame) -> DataFrame:
+    """Rows (key, item) of baskets (key, items), whatever the key's name."""
+    return sets.select(F.col(sets.columns[0]).alias("key"), F.explode("items").alias("item"))
+
+
 def frequent(sets: DataFrame, share: float | None = None, support: int | None = None, size: int = 1) -> DataFrame:
-    """(items, n) of itemsets of this size in at least share of all baskets, or support baskets.
-
-    A basket first loses the items that are not frequent themselves. From pairs on, the candidates of a basket are
-    joined with the frequent sets of one item less, by their first items (prefix) and their last; candidates with a part that is not frequent are
-    pruned before they are counted. Counts are partial before the shuffle."""
-    total = sets.agg(F.count(F.lit(1)).alias("total"))
-    least = F.col("total") * share if share is not None else F.lit(support)
-
-    def kept(counts: DataFrame) -> DataFrame:
-        return counts.crossJoin(F.broadcast(total)).where(F.col("n") >= least).select("items", "n")
-
-    level = kept(sets.select(F.explode("items").alias("i")).groupBy(F.array("i").alias("items")).agg(F.count(F.lit(1)).alias("n")))
-    for k in range(2, size + 1):
-        have = level.select(F.transform("items", lambda i: i.cast("string")).alias("p")).agg(F.collect_set("p").alias("known")) if k == 2 else None
-        grown = sets
-        if have is not None:  # frequent single items: as many as distinct items of the catalogue
-            single = have.select(F.flatten("known").alias("known"))
-            grown = sets.crossJoin(F.broadcast(single)).select(F.filter("items", lambda i: F.array_contains(F.col("known"), i.cast("string"))).alias("items"))
-            sets = grown
-        combined = grown.select(_subsets(k).alias("c")).select(F.explode("c").alias("items"))
-        if k > 2:  # every part of one item less must be frequent; the first and the last one are checked by joins
-            low = level.select(F.col("items").alias("part"))
-            combined = combined.withColumn("part", F.slice("items", 1, k - 1)).join(low, "part", "left_semi").withColumn("part", F.slice("items", 2, k - 1)).join(low, "part", "left_semi").select("items")
-        level = kept(combined.groupBy("items").agg(F.count(F.lit(1)).alias("n")))
-    return level
-
-
-def _subsets(k: int) -> F.Column:
-    """All sorted k-subsets of a basket."""
-    out = F.transform(F.col("items"), lambda i: F.array(i))
-    for _ in range(k - 1):
-        out = F.flatten(F.transform(out, lambda s: F.transform(F.filter(F.col("items"), lambda i: i > F.element_at(s, -1)), lambda i: F.concat(s, F.array(i)))))
+    """(items, n) of itemsets of this size in at least share of all baskets (key, items), or support baskets."""
+    levels, _ = apriori(unfolded(sets), share, support, size)
+    return levels[size - 1] if len(levels) >= size else levels[-1].limit(0)
+
+
+def counted(rows: DataFrame, wanted: list[DataFrame]) -> list[DataFrame]:
+    """(items, n) of wanted sets (items) of sizes 1, 2, ... in distinct rows (key, item). Every set's items but the last are wanted one size before."""
+    held, out = None, []
+    for size, asked in enumerate(wanted, 1):
+        if size == 1:
+            held = rows.join(asked.select(F.col("items")[0].alias("item")), "item", "left_semi").select("key", F.array("item").alias("items"))
+        else:
+            by_prefix = asked.select(F.slice("items", 1, size - 1).alias("items"), F.element_at("items", -1).alias("item"))
+            held = held.join(by_prefix, "items").join(rows, ["key", "item"]).select("key", F.concat("items", F.array("item")).alias("items"))
+        held = written(held, "held")
+        out.append(held.groupBy("items").agg(F.count(F.lit(1)).alias("n")))
     return out
 
 

@@ -7,25 +7,26 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .itemsets import _subsets, frequent
+from .itemsets import apriori, counted, unfolded
 
 
 def toivonen(sets: DataFrame, share: float, size: int, fraction: float = 0.3, slack: float = 0.8, seed: int = 1) -> tuple[DataFrame, bool]:
-    """(itemsets (items, n) frequent in all baskets, whether they are certain to be all). Candidates are those frequent in a
-    sample at a lower share, and their negative border; if a set of the border is frequent, some may be missing."""
-    sample = sets.sample(fraction=fraction, seed=seed)
-    low = frequent(sample, share=share * slack, size=size).select("items", F.lit(False).alias("border"))
-    if size > 1:
-        parts = frequent(sample, share=share * slack, size=1).select(F.explode("items").alias("i"))
-        single = parts.agg(F.collect_set("i").alias("known"))
-        grown = sets.crossJoin(F.broadcast(single)).select(F.filter("items", lambda i: F.array_contains("known", i)).alias("items"))
-        every = grown.select(F.explode(_subsets(size)).alias("items")).distinct()
-    else:
-        every = sets.select(F.explode(_subsets(1)).alias("items")).distinct()
-    border = every.join(low, "items", "left_anti").select("items", F.lit(True).alias("border"))
-    counts = sets.select(F.explode(_subsets(size)).alias("items")).join(low.unionByName(border), "items").groupBy("items", "border").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.where(F.col("n") >= share * sets.count())
-    return kept.where("NOT border").select("items", "n"), kept.where("border").isEmpty()
+    """(itemsets (items, n) of this size frequent in all baskets (key, items), whether they are certain to be all).
+
+    Candidates of every size up to this one are the sets frequent in a sample of the baskets at a lower share, and their negative border:
+    sets that are not, though all their parts of one item less are. All are counted in all baskets; if one of the border is
+    frequent, sets above it may be missing."""
+    rows = unfolded(sets).distinct()
+    draw = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000))
+    levels, tried = apriori(rows.where(draw < int(fraction * 1_000_000)), share * slack, None, size)
+    tried[0] = rows.select(F.array("item").alias("items")).distinct()  # an item that the sample lacks is of the border too
+    least = rows.agg((F.count_distinct("key") * share).alias("least"))
+    certain, last = True, None
+    for low, n in zip(levels, counted(rows, tried), strict=True):
+        enough = n.crossJoin(F.broadcast(least)).where(F.col("n") >= F.col("least")).select("items", "n")
+        certain = certain and enough.join(low.select("items"), "items", "left_anti").isEmpty()
+        last = enough.join(low.select("items"), "items", "left_semi")
+    return last if len(levels) >= size else last.limit(0), certain
 
 
 def weighted_hybrid(one: DataFrame, two: DataFrame, weight: float = 0.5) -> DataFrame:

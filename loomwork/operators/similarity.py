@@ -16,15 +16,24 @@ from .relational import top_k
 PRIME = 1_000_000_007
 #: Variance up to this counts as none.
 FLAT = 1e-9
+#: Keys of an item that one task pairs with all of them.
+HEAVY = 2000
 #: Texts of a block and shingles of a matrix, where blocks of texts meet; size classes to a factor of the least similarity.
 SIDE, COLUMNS, STEPS = 512, 4096, 4
 
 
 def common(rows: DataFrame, key: str, item: str, *values: str) -> DataFrame:
-    """Pairs (a, b) with a < b of keys that share an item, a row for each shared item, with their values as x_, y_."""
-    one = rows.select(F.col(item).alias("__i"), F.col(key).alias("a"), *(F.col(v).alias(f"x_{v}") for v in values))
-    two = rows.select(F.col(item).alias("__i"), F.col(key).alias("b"), *(F.col(v).alias(f"y_{v}") for v in values))
-    return one.join(two, "__i").where("a < b")
+    """Pairs (a, b) with a < b of keys that share an item, a row for each shared item, with their values as x_, y_.
+
+    The keys of an item that more than HEAVY keys have are dealt to as many parts as it takes; each part meets all keys of the item, so
+    the pairs of a common item are the work of many tasks."""
+    heavy = rows.groupBy(F.col(item).alias("__i")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HEAVY).select("__i", F.ceil(F.col("m") / HEAVY).cast("int").alias("__s"))
+    one = rows.select(F.col(item).alias("__i"), F.col(key).alias("a"), *(F.col(v).alias(f"x_{v}") for v in values)).join(heavy, "__i", "left")
+    two = rows.select(F.col(item).alias("__i"), F.col(key).alias("b"), *(F.col(v).alias(f"y_{v}") for v in values)).join(heavy, "__i", "left")
+    parts = F.coalesce("__s", F.lit(1))
+    one = one.withColumn("__part", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("__s")
+    two = two.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__s")
+    return one.join(two, ["__i", "__part"]).where("a < b").drop("__part")
 
 
 def overlaps(rows: DataFrame, key: str, item: str) -> DataFrame:

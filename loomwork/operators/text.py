@@ -25,13 +25,14 @@ def postings(counts: DataFrame, key: str) -> DataFrame:
 
 def tfidf(counts: DataFrame, key: str, rare: float = 1e-6) -> DataFrame:
     """(key, word, score): f over the largest f of the key, times log2(N / n). Words under the share rare of all tokens are left out first."""
-    total = counts.agg(F.sum("f").alias("total"))
-    words = counts.groupBy("word").agg(F.sum("f").alias("w"))
-    common = counts.join(words.crossJoin(F.broadcast(total)).where(F.col("w") >= rare * F.col("total")).select("word"), "word", "left_semi")
+    # by word, in one pass: all its tokens, and the keys that have it; a word is left out as a whole, so both hold for what stays
+    words = counts.groupBy("word").agg(F.sum("f").alias("w"), F.count(F.lit(1)).alias("n"))
+    total = words.agg(F.sum("w").alias("total"))
+    kept = words.crossJoin(F.broadcast(total)).where(F.col("w") >= rare * F.col("total")).select("word", "n")
+    common = counts.join(kept, "word")
     most = common.groupBy(key).agg(F.max("f").alias("most"))
     n_docs = most.agg(F.count(F.lit(1)).alias("docs"))
-    holders = common.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    joined = common.join(most, key).join(holders, "word").crossJoin(F.broadcast(n_docs))
+    joined = common.join(most, key).crossJoin(F.broadcast(n_docs))
     return joined.select(key, "word", (F.col("f") / F.col("most") * F.log2(F.col("docs") / F.col("n"))).alias("score"))
 
 
@@ -57,6 +58,11 @@ def _deletes(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) > 0, cut).otherwise(F.array().cast("array<string>"))))
 
 
+def _two_deletes(word: Column) -> Column:
+    """Every form with up to two letters deleted."""
+    return F.array_distinct(F.flatten(F.transform(_deletes(word), _deletes)))
+
+
 def swapped(a: Column, b: Column) -> Column:
     """b is a with two neighbouring letters exchanged."""
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b)
@@ -80,27 +86,31 @@ def spell(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     best = F.min_by("other", F.struct(-F.col("n"), F.col("other"))).alias("fix")
     one = near_words(unknown, dictionary).join(n, "other").groupBy("word").agg(best)
     rest = unknown.join(one, "word", "left_anti")
-    size = F.length("word")
-    lengths = rest.select("word", F.explode(F.sequence(size - 2, size + 2)).alias("len"))
-    two = lengths.join(n.withColumn("len", F.length("other")), "len").where(F.levenshtein("word", "other", 2) >= 0).groupBy("word").agg(best)
+    # words at distance two share a form with two letters deleted at most
+    asked = rest.select("word", F.explode(_two_deletes(F.col("word"))).alias("v"))
+    met = asked.join(n.select("other", F.explode(_two_deletes(F.col("other"))).alias("v")), "v").select("word", "other").distinct()
+    two = met.where(F.levenshtein("word", "other", 2) >= 0).join(n, "other").groupBy("word").agg(best)
     left = rest.join(two, "word", "left_anti").select("word", F.col("word").alias("fix"))
     return known.unionByName(one).unionByName(two).unionByName(left)
 
 
-def nb_counts(tokens: DataFrame, label: str) -> DataFrame:
-    """(word, c0, c1) of tokens (word, label)."""
-    return tokens.groupBy("word").agg(F.count_if(F.col(label) == 0).alias("c0"), F.count_if(F.col(label) == 1).alias("c1"))
+def nb_counts(tokens: DataFrame, *labels: str) -> DataFrame:
+    """(word, and c0_<label>, c1_<label> for each of the labels) of tokens (word, labels 0 or 1), in one pass."""
+    return tokens.groupBy("word").agg(*(F.count_if(F.col(label) == c).alias(f"c{c}_{label}") for label in labels for c in (0, 1)))
 
 
-def nb_predict(tokens: DataFrame, counts: DataFrame, priors: DataFrame, key: str) -> DataFrame:
-    """(key, class): 0 only if its score is strictly greater. tokens (key, word), a row a token; priors one row (n0, n1). Unseen words are skipped."""
-    totals = counts.agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), F.count(F.lit(1)).alias("v"))
-    p = counts.crossJoin(F.broadcast(totals)).select("word", F.log((F.col("c0") + 1) / (F.col("t0") + F.col("v"))).alias("l0"), F.log((F.col("c1") + 1) / (F.col("t1") + F.col("v"))).alias("l1"))
+def nb_predict(tokens: DataFrame, counts: DataFrame, priors: DataFrame, key: str, *labels: str) -> DataFrame:
+    """(key, a column for each label): class 0 only if its score is strictly greater. tokens (key, word), a row a token; counts as of nb_counts, where a
+    word that a label has not seen counts nothing for it; priors one row (n0_<label>, n1_<label>). Unseen words are skipped."""
+    seen = lambda label: F.col(f"c0_{label}") + F.col(f"c1_{label}") > 0
+    totals = counts.agg(*(x for label in labels for x in (F.sum(f"c0_{label}").alias(f"t0_{label}"), F.sum(f"c1_{label}").alias(f"t1_{label}"), F.count_if(seen(label)).alias(f"v_{label}"))))
+    odds = lambda c, label: F.when(seen(label), F.log((F.col(f"c{c}_{label}") + 1) / (F.col(f"t{c}_{label}") + F.col(f"v_{label}")))).otherwise(0.0)
+    p = counts.crossJoin(F.broadcast(totals)).select("word", *(odds(c, label).alias(f"l{c}_{label}") for label in labels for c in (0, 1)))
     bag = tokens.groupBy(key, "word").agg(F.count(F.lit(1)).alias("f"))
-    sums = bag.join(p, "word").groupBy(key).agg(F.sum(F.col("f") * F.col("l0")).alias("s0"), F.sum(F.col("f") * F.col("l1")).alias("s1"))
-    every = tokens.select(key).distinct().join(sums, key, "left").crossJoin(F.broadcast(priors))
-    zero = F.coalesce("s0", F.lit(0.0)) + F.log("n0") > F.coalesce("s1", F.lit(0.0)) + F.log("n1")
-    return every.select(key, F.when(zero, 0).otherwise(1).alias("class"))
+    # a left join, so that a key of unseen words alone has the class of the priors
+    sums = bag.join(p, "word", "left").groupBy(key).agg(*(F.coalesce(F.sum(F.col("f") * F.col(f"l{c}_{label}")), F.lit(0.0)).alias(f"s{c}_{label}") for label in labels for c in (0, 1)))
+    zero = lambda label: F.col(f"s0_{label}") + F.log(f"n0_{label}") > F.col(f"s1_{label}") + F.log(f"n1_{label}")
+    return sums.crossJoin(F.broadcast(priors)).select(key, *(F.when(zero(label), 0).otherwise(1).alias(label) for label in labels))
 
 
 def viterbi(tokens: DataFrame, key: str, transition: np.ndarray, n_tags: int, unknown: int = 5) -> DataFrame:

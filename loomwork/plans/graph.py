@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _edges(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
-    """Each supplier with the k suppliers it shares most orders with, in both directions. The few rows are kept for the rounds."""
+    """Each supplier with the k suppliers it shares most orders with, in both directions."""
     p = supplier_pairs(spark, d)
     both = p.select(F.col("a").alias("src"), F.col("b").alias("dst"), "n").unionByName(p.select(F.col("b").alias("src"), F.col("a").alias("dst"), "n"))
     return ops.undirected(top_k(both, ["src"], [F.desc("n"), F.col("dst")], k))
@@ -78,28 +78,27 @@ def _unrolled(start: str, step: str, rounds: int, last: str) -> str:
 
 @query(f"WITH {_G}, " + _unrolled("SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM dg) AS pr FROM dg", "SELECT dst AS node, 0.15 / (SELECT count(*) FROM dg) + 0.85 * sum(pr / degree) AS pr FROM g JOIN {x} ON {x}.node = src JOIN dg ON dg.node = src GROUP BY 1", 10, "SELECT node, round(pr, 6) AS pr FROM {x}"))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d).persist()
-    return ops.pagerank(edges).select("node", F.round("pr", 6).alias("pr"))
+    return ops.pagerank(_edges(spark, d)).select("node", F.round("pr", 6).alias("pr"))
 
 
-#: Rounds that the SQL is unrolled to; the queries themselves go on until nothing changes.
-HOPS = 6
+def _fixed_sql(start: str, step: str, value: str) -> str:
+    """To the fixed point: step adds rows to x (node, value) till it has no new one; the least value of a node stays."""
+    return f"WITH RECURSIVE {_G}, x AS ({start} UNION {step}) SELECT node, min({value}) AS {value} FROM x GROUP BY 1"
 
 
-@query(f"WITH {_G}, " + _unrolled("SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS d", "SELECT node, min(d) AS d FROM (SELECT node, d FROM {x} UNION ALL SELECT dst, d + 1 FROM {x} JOIN g ON src = node) GROUP BY 1", HOPS, "SELECT node, d FROM {x}"))
+# A least path has fewer edges than there are nodes, each of weight 16 at most.
+@query(_fixed_sql("SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS d", "SELECT dst, d + 1 FROM x JOIN g ON src = node WHERE d + 1 < (SELECT count(*) FROM dg)", "d"))
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
     """Levels from supplier 0."""
-    edges = _edges(spark, d).persist()
-    return ops.distances(edges, spark.createDataFrame([(0,)], "node long"))
+    return ops.distances(_edges(spark, d), spark.createDataFrame([(0,)], "node long"))
 
 
-@query(f"WITH {_G}, w AS (SELECT src, dst, 10 + (src + dst) % 7 AS w FROM g), " + _unrolled("SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS d", "SELECT node, min(d) AS d FROM (SELECT node, d FROM {x} UNION ALL SELECT dst, d + w FROM {x} JOIN w ON src = node) GROUP BY 1", HOPS, "SELECT node, CAST(d AS BIGINT) AS d FROM {x}"))
+@query(_fixed_sql("SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS d", "SELECT dst, d + 10 + (src + dst) % 7 FROM x JOIN g ON src = node WHERE d + 10 + (src + dst) % 7 < 16 * (SELECT count(*) FROM dg)", "d"))
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d).withColumn("w", 10 + (F.col("src") + F.col("dst")) % 7).persist()
+    edges = _edges(spark, d).withColumn("w", 10 + (F.col("src") + F.col("dst")) % 7)
     return ops.distances(edges, spark.createDataFrame([(0,)], "node long"), weight="w")
 
 
-@query(f"WITH {_G}, " + _unrolled("SELECT node, node AS component FROM dg", "SELECT node, min(component) AS component FROM (SELECT node, component FROM {x} UNION ALL SELECT dst, component FROM {x} JOIN g ON src = node) GROUP BY 1", 10, "SELECT node, component FROM {x}"))
+@query(_fixed_sql("SELECT node, node AS component FROM dg", "SELECT dst, component FROM x JOIN g ON src = node", "component"))
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d).persist()
-    return ops.components(edges)
+    return ops.components(_edges(spark, d))

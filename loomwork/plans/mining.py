@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,8 +41,8 @@ _F2 = f"f2 AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM b x JOIN b y ON x.k
 
 
 def _level(spark: SparkSession, d: str, share: float, size: int) -> DataFrame:
-    sets = itemsets.baskets(_brand_rows(spark, d), "key", "item")
-    return itemsets.frequent(sets, share=share, size=size)
+    levels, _ = itemsets.apriori(_brand_rows(spark, d), share, most=size)
+    return levels[size - 1] if len(levels) >= size else levels[-1].limit(0)
 
 
 @query(f"WITH {_B} SELECT CAST(len(list(i)) AS BIGINT) AS size, k AS key FROM b GROUP BY k HAVING count(*) > 3")
@@ -63,17 +65,31 @@ def frequent_triples(spark: SparkSession, d: str) -> DataFrame:
     return _level(spark, d, TRIPLE, 3).select(F.array_join("items", ",").alias("items"), F.col("n").alias("support"))
 
 
-@query(f"""WITH {_B}, {_F1}, {_F2} SELECT CAST(1 AS INTEGER) AS size, string_agg('(''' || i || ''')', ',' ORDER BY i) AS text FROM f1
-UNION ALL SELECT CAST(2 AS INTEGER), string_agg('(''' || a || ''', ''' || b || ''')', ',' ORDER BY a, b) FROM f2""")
+#: Every subset of every basket, by the bits of a number: as many as baskets of a few items have.
+_ALL = f"""{_B}, bk AS (SELECT list(i ORDER BY i) AS l FROM b GROUP BY k), sb AS (SELECT list_transform(list_filter(range(1, len(l) + 1), lambda j: (m >> (j - 1)) & 1 = 1), lambda j: l[j]) AS s FROM (SELECT l, unnest(range(1, 1 << len(l))) AS m FROM bk)),
+f AS MATERIALIZED (SELECT s, count(*) AS n FROM sb GROUP BY 1 HAVING count(*) >= {ITEM} * (SELECT n FROM t))"""
+
+
+@query(f"WITH {_ALL} SELECT CAST(len(s) AS INTEGER) AS size, array_to_string(s, ',') AS items, n AS support FROM f")
+def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    """Of every size, till there is none."""
+    levels, _ = itemsets.apriori(_brand_rows(spark, d), ITEM)
+    return reduce(DataFrame.unionByName, (x.select(F.size("items").alias("size"), F.array_join("items", ",").alias("items"), F.col("n").alias("support")) for x in levels))
+
+
+_TEXT = "string_agg('(''' || array_to_string(s, ''', ''') || ''')', ',' ORDER BY s)"
+
+
+@query(f"""WITH {_ALL}, e AS (SELECT list(s) AS l FROM f), c AS (SELECT DISTINCT [i] AS s FROM b UNION ALL SELECT s FROM (SELECT list_append(x.s, y.s[-1]) AS s FROM f x JOIN f y ON len(x.s) = len(y.s) AND x.s[:-2] = y.s[:-2] AND x.s[-1] < y.s[-1]), e
+  WHERE len(list_filter(range(1, len(s) + 1), lambda j: NOT list_contains(l, s[:j - 1] || s[j + 1:]))) = 0)
+SELECT 'Candidates' AS section, CAST(len(s) AS INTEGER) AS size, {_TEXT} AS text FROM c GROUP BY 2 UNION ALL SELECT 'Frequent Itemsets', CAST(len(s) AS INTEGER), {_TEXT} FROM f GROUP BY 2""")
 def itemset_report(spark: SparkSession, d: str) -> DataFrame:
-    """One line for each size; itemsets in element order."""
-    out = None
-    for size, share in ((1, ITEM), (2, PAIR)):
-        level = _level(spark, d, share, size)
-        text = F.transform(F.array_sort(F.collect_list("items")), lambda s: F.concat(F.lit("('"), F.array_join(s, "', '"), F.lit("')")))
-        part = level.agg(F.array_join(text, ",").alias("text")).select(F.lit(size).alias("size"), "text")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """One line for each size of the candidates and of the frequent itemsets, in element order. A report is one text: its length is that of what it lists."""
+    levels, tried = itemsets.apriori(_brand_rows(spark, d), ITEM)
+    text = F.transform(F.array_sort(F.collect_list("items")), lambda s: F.concat(F.lit("('"), F.array_join(s, "', '"), F.lit("')")))
+    lines = [(name, size, x) for name, tables in (("Candidates", tried), ("Frequent Itemsets", levels)) for size, x in enumerate(tables, 1)]
+    each = (x.select("items").agg(F.array_join(text, ",").alias("text")).select(F.lit(name).alias("section"), F.lit(size).alias("size"), "text") for name, size, x in lines)
+    return reduce(DataFrame.unionByName, each).where("text <> ''")
 
 
 @query(f"""WITH {_B}, i AS (SELECT i, count(*) AS n FROM b GROUP BY 1), {_F2}, r AS (SELECT a, b, n FROM f2 UNION ALL SELECT b, a, n FROM f2)
@@ -334,7 +350,7 @@ def eval_rmse(spark: SparkSession, d: str) -> DataFrame:
     return _predicted(spark, d).agg(F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_UB}, {_EXACT}, {_LSHB}, f AS (SELECT b1, b2 FROM sp SEMI JOIN cd USING (b1, b2)) SELECT 'precision' AS metric, 1.0 AS v UNION ALL SELECT 'recall', round((SELECT count(*) FROM f) / nullif((SELECT count(*) FROM sp), 0), 6)")
+@query(f"WITH {_UB}, {_EXACT}, {_LSHB}, f AS (SELECT b1, b2 FROM ex JOIN cd USING (b1, b2) WHERE i / (na + nb - i) >= 0.05), tp AS (SELECT count(*) AS n FROM f SEMI JOIN sp USING (b1, b2)) SELECT 'precision' AS metric, round((SELECT n FROM tp) / nullif((SELECT count(*) FROM f), 0), 6) AS v UNION ALL SELECT 'recall', round((SELECT n FROM tp) / nullif((SELECT count(*) FROM sp), 0), 6)")
 def eval_precision_recall(spark: SparkSession, d: str) -> DataFrame:
     """Verified LSH pairs against the exact ones."""
     exact, got = (q(spark, d).select("b1", "b2") for q in (similar_pairs_exact, similar_pairs_lsh))

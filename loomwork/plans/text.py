@@ -293,8 +293,8 @@ k AS (SELECT 'quality' AS target, word, count(*) FILTER (quality = 0) AS c0, cou
 def nb_likelihoods(spark: SparkSession, d: str) -> DataFrame:
     """Word counts by class for both targets; documents whose id is a multiple of five are for the test."""
     tokens = _labelled(spark, d).where("doc_id % 5 <> 0").select("quality", "toxic", F.explode("w").alias("word"))
-    both = [ops.nb_counts(tokens, t).select(F.lit(t).alias("target"), "word", "c0", "c1") for t in ("quality", "toxic")]
-    return both[0].unionByName(both[1])
+    targets = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(f"c0_{t}").alias("c0"), F.col(f"c1_{t}").alias("c1")) for t in ("quality", "toxic")))).alias("t")
+    return ops.nb_counts(tokens, "quality", "toxic").select("word", targets).select("t.target", "word", "t.c0", "t.c1")
 
 
 @query(f"""WITH {_NB}, t AS (SELECT target, sum(c0) AS t0, sum(c1) AS t1, count(*) AS v FROM k GROUP BY 1),
@@ -307,12 +307,8 @@ def nb_predict(spark: SparkSession, d: str) -> DataFrame:
     labelled = _labelled(spark, d)
     train, test = labelled.where("doc_id % 5 <> 0"), labelled.where("doc_id % 5 = 0").select("doc_id", F.explode("w").alias("word"))
     tokens = train.select("quality", "toxic", F.explode("w").alias("word"))
-    out = None
-    for t in ("quality", "toxic"):
-        prior = train.agg(F.count_if(F.col(t) == 0).alias("n0"), F.count_if(F.col(t) == 1).alias("n1"))
-        got = ops.nb_predict(test, ops.nb_counts(tokens, t), prior, "doc_id").withColumnRenamed("class", t)
-        out = got if out is None else out.join(got, "doc_id")
-    return out
+    priors = train.agg(*(F.count_if(F.col(t) == c).alias(f"n{c}_{t}") for t in ("quality", "toxic") for c in (0, 1)))
+    return ops.nb_predict(test, ops.nb_counts(tokens, "quality", "toxic"), priors, "doc_id", "quality", "toxic")
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:

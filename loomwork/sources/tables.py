@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -66,8 +67,8 @@ def csv_table(spark: SparkSession, path: str, schema: str, header: bool = True,
 def numeric_rounds(spark: SparkSession, path: str) -> DataFrame:
     """(round, id, features): headerless numeric files of one folder, a round for each file in the order of names."""
     rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.split("value", ",").alias("v")).where(F.size("v") > 1)
-    names = rows.select("file").distinct()
-    rank = names.join(names.withColumnRenamed("file", "other"), F.col("other") <= F.col("file")).groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("round"))
+    # a row a file: ranked on one task, as are the names that a folder listing returns
+    rank = rows.select("file").distinct().select("file", F.dense_rank().over(Window.orderBy("file")).alias("round"))
     return rows.join(rank, "file").select("round", F.col("v")[0].alias("id"), F.transform(F.slice("v", 2, 1 << 20), lambda x: x.cast("double")).alias("features"))
 
 
