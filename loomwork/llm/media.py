@@ -4,7 +4,8 @@ Every frame is a lossless JPEG (process 14, SOF3: 8-bit samples, predictor 1) an
 The file is RIFF: header list, ``movi`` list of ``00dc`` chunks, ``idx1`` index; the length of what it
 holds stands in the stream's ``strd`` chunk. The Huffman table gives difference category s a code of
 16 - s bits, so that code and extra bits always fill 16 bits and whole frames are coded and decoded
-as arrays. A file is limited by RIFF's 4 GB, nearly 2 GB of samples, which is above what a string column can hold.
+as arrays. Files from elsewhere are read too, for their shots: with or without an index, with these frames or
+ordinary baseline ones. A file is limited by RIFF's 4 GB, nearly 2 GB of samples, which is above what a string column can hold.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from loomwork.shipping import ship
 
 from .common import read
+from .jpeg import luma
 
 WIDTH, HEIGHT, FRAME_MS, BINS = 64, 64, 40, 32
 #: A shot begins where the histogram difference is above mean + SPREAD deviations of the last SPAN differences, and FLOOR at least. The first difference has none before it and must be above FIRST.
@@ -149,6 +151,16 @@ def chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
 
 def avi_parsed(data: bytes) -> tuple[bytes, np.ndarray, int]:
     """The payload, the planes of the frames and the milliseconds a frame stands; frames are found by the index."""
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+        raise ValueError("not an AVI file")
+    frames, ms, length = avi_frames(data)
+    planes = jpeg_samples(frames)
+    return planes.tobytes()[:length], planes, ms
+
+
+def avi_frames(data: bytes) -> tuple[list[bytes], int, int]:
+    """The frames of an AVI file, the milliseconds a frame stands and the stated length of the payload. Frames are found by the index, whose
+    places count from the list of frames or from the file's begin, or, where there is none, one after another."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     movi, index, length, ms = None, b"", 0, FRAME_MS
@@ -156,18 +168,51 @@ def avi_parsed(data: bytes) -> tuple[bytes, np.ndarray, int]:
         if kind == b"LIST" and data[a : a + 4] == b"hdrl":
             for inner, c, d in chunks(data, a + 4, b):
                 if inner == b"avih":
-                    ms = struct.unpack_from("<I", data, c)[0] // 1000
+                    ms = max(1, struct.unpack_from("<I", data, c)[0] // 1000)
                 elif inner == b"LIST":
                     for own, e, _ in chunks(data, c + 4, d):
-                        if own == b"strd":
+                        if own == b"strd" and len(data) >= e + 8:
                             length = struct.unpack_from("<Q", data, e)[0]
         elif kind == b"LIST" and data[a : a + 4] == b"movi":
-            movi = a
+            movi = a, b
         elif kind == b"idx1":
-            index = data[a:b]
-    frames = [data[movi + at + 8 : movi + at + 8 + size] for kind, _, at, size in struct.iter_unpack("<4sIII", index) if kind == b"00dc"]
-    planes = jpeg_samples(frames)
-    return planes.tobytes()[:length], planes, ms
+            index = data[a : b - (b - a) % 16]
+    if movi is None:
+        raise ValueError("no list of frames")
+    frames = []
+    for kind, _, at, size in struct.iter_unpack("<4sIII", index):
+        if kind[2:] in (b"dc", b"db"):
+            begin = movi[0] + at if data[movi[0] + at : movi[0] + at + 4] == kind else at
+            frames.append(data[begin + 8 : begin + 8 + size])
+    return frames or list(_walked(data, movi[0] + 4, movi[1])), ms, length
+
+
+def _walked(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    for kind, a, b in chunks(data, at, end):
+        if kind == b"LIST":
+            yield from _walked(data, a + 4, b)
+        elif kind[2:] in (b"dc", b"db"):
+            yield data[a:b]
+
+
+def avi_shots(data: bytes) -> list[tuple[int, int, int, float]]:
+    """Shots of any motion-JPEG file: lossless frames as written here, else the luma of baseline frames, all of one size."""
+    frames, ms, _ = avi_frames(data)
+    frames = [f for f in frames if f]  # an empty chunk repeats the frame before
+    if not frames:
+        return []
+    planes = jpeg_samples(frames) if _lossless(frames[0]) else np.stack([luma(f) for f in frames])
+    return shots(planes, ms)
+
+
+def _lossless(frame: bytes) -> bool:
+    at = 2
+    while at + 4 <= len(frame):
+        mark, size = struct.unpack_from(">HH", frame, at)
+        if mark in (0xFFC3, 0xFFDA):
+            return mark == 0xFFC3
+        at += 2 + size
+    return False
 
 
 def shots(planes: np.ndarray, ms: int) -> list[tuple[int, int, int, float]]:
@@ -224,6 +269,31 @@ def clip_rows(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return media.select(id_col, F.posexplode("clips").alias("clip", "c")).select(id_col, "clip", "c.*")
 
 
+def media_clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """id_col, clips and error of a column of motion-JPEG AVI files, written here or elsewhere.
+
+    A file that cannot be read has no clips and says why in error; a null or a file without frames has no clips and no error. Repeated rows
+    stay; an empty table gives no rows; other columns are not read. What is read: RIFF with or without an index, frames of
+    the lossless form above or baseline frames that bring their Huffman tables."""
+    ship(df.sparkSession)
+    clip = pa.list_(pa.struct([("begin_ms", pa.int64()), ("end_ms", pa.int64()), ("frames", pa.int64()), ("mean", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clips, errors = [], []
+            for media in batch.column("media"):  # one file in memory at a time
+                try:
+                    found, error = avi_shots(media.as_py()) if media.is_valid else [], None
+                except (ValueError, struct.error) as broken:
+                    found, error = [], str(broken)
+                clips.append([dict(zip(("begin_ms", "end_ms", "frames", "mean"), c, strict=True)) for c in found])
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(clips, clip), pa.array(errors, pa.string())], [id_col, "clips", "error"])
+
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, clips {CLIP}, error string"
+    return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, schema)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     feature = F.concat_ws(
         ";",
