@@ -60,3 +60,13 @@ def test_turns(spark):
     assert text.count("hello there?") == 2 and "what is it" in text
     empty = chat.parse_roles(chat.transcript(table.limit(0)).drop("role", "first", "lead"), model)
     assert empty.count() == 0
+
+
+def test_roles_of_conversations_that_taught_nothing(spark):
+    rows = talk(7, 80)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.fit(table.where("conv_id % 5 <> 1"))
+    held = [r for r in rows if r[0] % 5 == 1]
+    truth = {(r.conv, r.turn, r.line): r.role for r in chat.transcript(table).collect()}
+    seen = [r for r in parsed(spark, held, model, 3) if r.text]
+    assert sum(r.role == truth[r.conv, r.turn, r.line] for r in seen) / len(seen) > 0.9
