@@ -298,7 +298,7 @@ def _long_lists(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components of each list in rest (h, key, n, c), found by blocks."""
     largest = rest.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "c")).alias("g"), F.sum("m").alias("all"))
     blocks = largest.select("h", F.col("g.c").alias("g"), F.ceil((F.col("all") - F.col("g.m")) / SIDE).cast("int").alias("ko"), F.ceil(F.col("g.m") / SIDE).cast("int").alias("kg"))
-    member = rest.join(blocks, "h").withColumn("out", F.col("c") != F.col("g"))
+    member = rest.join(written(blocks, "blocks"), "h").withColumn("out", F.col("c") != F.col("g"))
     member = member.withColumn("block", F.when(F.col("out"), F.pmod(F.xxhash64("key"), F.col("ko"))).otherwise(F.col("ko") + F.pmod(F.xxhash64("key"), F.col("kg"))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("ko") + F.col("kg")).otherwise(F.col("ko")) - 1)).alias("o")
     cells = member.select("h", "key", "n", "c", "block", other).select("h", "key", "n", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
@@ -323,17 +323,23 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
     prefix = classes.where("prefix is not null").select("key", "n", F.explode(F.arrays_zip("prefix", "depths")).alias("p")).select(F.col("p.prefix").alias("h"), "key", "n", F.col("p.depths").alias("d"))
     prefix = written(prefix, "prefixes")
-    label = spark.createDataFrame([], "key long, component long")
-    rest = None
+    label, before = spark.createDataFrame([], "key long, component long"), None
     for turn in range(ROUNDS + 2):
         open_ = prefix.join(label, "key", "left").select("h", "key", "n", "d", F.coalesce("component", "key").alias("c"))
         leader = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("x"), "key", "n", "d", "c")).alias("l")
         lists = open_.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), leader).where("lo <> hi")
+        # written, so that the join has two plain sides: Spark splits the list that a large share of all classes stands in
+        lists = written(lists.select("h", "m", "l"), "lists")
+        if lists.isEmpty():
+            discard(lists)
+            break
+        held = written(open_.join(lists, "h"), "open")
+        discard(prefix, lists)
+        prefix, rest = held.select("h", "key", "n", "d"), None  # a list within one component stays so
         if turn < ROUNDS:
-            met = open_.join(lists, "h").where("c <> l.c").select(F.col("l.key").alias("a"), F.col("l.n").alias("na"), F.col("l.d").alias("da"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
+            met = held.where("c <> l.c").select(F.col("l.key").alias("a"), F.col("l.n").alias("na"), F.col("l.d").alias("da"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
         else:
-            length = F.col("m") <= SHORT if turn == ROUNDS else F.col("m") > SHORT
-            rest = written(open_.join(lists.where(length).select("h"), "h"), "rest")
+            rest = held.where(F.col("m") <= SHORT if turn == ROUNDS else F.col("m") > SHORT).select("h", "key", "n", "d", "c")
             one, two = (rest.select("h", *(F.col(c).alias(f"{c}{s}") for c in ("key", "n", "d", "c"))) for s in ("1", "2"))
             met = one.join(two, "h").where("key1 < key2 and c1 <> c2").select(F.col("key1").alias("a"), F.col("n1").alias("na"), F.col("d1").alias("da"), F.col("key2").alias("b"), F.col("n2").alias("nb"), F.col("d2").alias("db"))
         if turn <= ROUNDS:
@@ -343,8 +349,9 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         else:
             new = written(_long_lists(rest, classes, percent), "links")
         last, label = label, components(label.select(F.col("key").alias("a"), F.col("component").alias("b")).unionByName(new))
-        discard(last, new, rest)
-    discard(classes, prefix)
+        discard(last, new, before)
+        before = held
+    discard(classes, prefix, before)
     release(spark)
     return rows, label
 
