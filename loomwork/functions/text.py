@@ -75,3 +75,21 @@ def url_normalized(url: Column) -> Column:
     scheme, host, rest = (F.regexp_extract(url, r"^([A-Za-z]+)://([^/?#]*)(.*)$", i) for i in (1, 2, 3))
     port = F.when(F.lower(scheme) == "http", F.regexp_replace(F.lower(host), ":80$", "")).otherwise(F.regexp_replace(F.lower(host), ":443$", ""))
     return F.when(scheme == "", url).otherwise(F.concat(F.lower(scheme), F.lit("://"), port, F.when(rest == "", "/").otherwise(rest)))
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Places in which two texts of one length differ; null for others."""
+    return F.when(F.length(a) == F.length(b), F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d)))
+
+
+def bits_apart(a: Column, b: Column) -> Column:
+    """Bits in which two numbers differ."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+#: Bits of a fingerprint: so many hexadecimal digits of a word's MD5, below the sign of a long.
+HEX = 15
+
+
+def word_bits(word: Column) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, HEX), 16, 10).cast("long")

@@ -205,7 +205,7 @@ class Bfr:
         self.rounds.append((len(self.rounds) + 1, len(self.discard), sum(c[0] for c in self.discard.values()), len(self.compressed), sum(c[0] for c in self.compressed.values()), self.retained.count()))
 
     def result(self) -> DataFrame:
-        """(id, cluster): compressed clusters go to their nearest cluster of the discard set, retained points are -1."""
+        """(id, cluster) in the order of ids: compressed clusters go to their nearest cluster of the discard set, retained points are -1."""
         into = {}
         for b, c in self.compressed.items():
             m = self._shape(c)[0]
@@ -215,4 +215,8 @@ class Bfr:
         out = self.retained.select("id", F.lit(-1).alias("cluster"))
         for p in self.placed:
             out = out.unionByName(p)
-        return out
+        return out.orderBy("id")
+
+    def counts(self) -> list[tuple]:
+        """(round, clusters and points of the discard set, clusters and points of the compressed set, retained points) of each round."""
+        return list(self.rounds)

@@ -51,6 +51,24 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFra
     return rank
 
 
+def directed_pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
+    """(node, pr) of distinct directed edges (src, dst) after so many rounds; what nodes without a way out hold is dealt to all evenly. Every round is
+    written, as the next one reads it twice."""
+    edges = written(edges.select("src", "dst"), "edges")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    deg = written(nodes.join(degrees(edges), "node", "left"), "degrees")
+    n = deg.agg(F.count(F.lit(1)).alias("nodes"))
+    rank = deg.crossJoin(F.broadcast(n)).select("node", "degree", (1 / F.col("nodes")).alias("pr"))
+    for _ in range(rounds):
+        sent = edges.join(rank.select(F.col("node").alias("src"), (F.col("pr") / F.col("degree")).alias("s")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("s").alias("s"))
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("pr"))), F.lit(0.0)).alias("lost"))
+        every = deg.join(sent, "node", "left").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(lost))
+        last, rank = rank, written(every.select("node", "degree", ((1 - alpha) / F.col("nodes") + alpha * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / F.col("nodes"))).alias("pr")), "rank")
+        discard(last)
+    discard(edges, deg)
+    return rank.select("node", "pr")
+
+
 def _fixed(edges: DataFrame, start: DataFrame, value: str, sent: Column) -> DataFrame:
     """start (node, value) after rounds until no value falls. Only nodes whose value fell send it in the next round. Edges and rounds are
     written, as they are read again."""

@@ -29,6 +29,16 @@ def toivonen(sets: DataFrame, share: float, size: int, fraction: float = 0.3, sl
     return last if len(levels) >= size else last.limit(0), certain
 
 
+def toivonen_exact(sets: DataFrame, share: float, size: int, fraction: float = 0.3, slack: float = 0.8) -> DataFrame:
+    """Itemsets of this size, certain to be all: where a sample leaves doubt, another one is drawn at a lower share, at last all baskets."""
+    for turn in range(1, 5):
+        got, certain = toivonen(sets, share, size, fraction, slack, turn)
+        if certain:
+            return got
+        slack *= 0.8
+    return toivonen(sets, share, size, 1.0, 1.0)[0]
+
+
 def weighted_hybrid(one: DataFrame, two: DataFrame, weight: float = 0.5) -> DataFrame:
     """(user, item, pred) from two predictors; where one is silent the other counts alone."""
     j = one.withColumnRenamed("pred", "p").join(two.withColumnRenamed("pred", "q"), ["user", "item"], "full")

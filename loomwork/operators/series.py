@@ -33,10 +33,14 @@ def smoothed(value: str, key: str, order: str, half: int = 3, sd: float = 2.0) -
     return F.when(den > 0, num / den)
 
 
-def from_cutoff(df: DataFrame, key: str, order: str, value: str, cutoff: float) -> DataFrame:
-    """Each series from its first row at or above the cutoff."""
-    w = Window.partitionBy(key)
-    return df.withColumn("__f", F.min(F.when(F.col(value) >= cutoff, F.col(order))).over(w)).where(F.col(order) >= F.col("__f")).drop("__f")
+def cumulative_product(value: Column, key: str, order: str) -> Column:
+    """Product of the positive values up to each row, as the exponential of a sum of logarithms."""
+    return F.exp(F.sum(F.log(value)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def without(df: DataFrame, key: str, left_out: list) -> DataFrame:
+    """Rows whose series is none of those left out; a null key stays."""
+    return df.where(~F.coalesce(F.col(key).isin(left_out), F.lit(False)))
 
 
 def prepared(counts: DataFrame, key: str, day: str, n: str, cutoffs: tuple[float, ...] = (25, 10)) -> DataFrame:

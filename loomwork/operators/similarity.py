@@ -53,13 +53,40 @@ def set_cosine() -> Column:
 
 def pearson(rows: DataFrame, key: str, item: str, value: str, least: int = 3) -> DataFrame:
     """(a, b, n, sim) over common items, means over these alone; no variance gives 0. From sums, so partial before the shuffle."""
-    x, y = F.col(f"x_{value}"), F.col(f"y_{value}")
-    s = common(rows, key, item, value).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy")
-    )
+    s = common(rows, key, item, value).groupBy("a", "b").agg(*moments(F.col(f"x_{value}"), F.col(f"y_{value}")))
+    return correlated(s, least)
+
+
+def moments(x: Column, y: Column) -> list[Column]:
+    """Aggregates n, x, y, xx, yy, xy of a pair's common values."""
+    return [F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy")]
+
+
+def correlated(sums: DataFrame, least: int = 3) -> DataFrame:
+    """(a, b, n, sim) of moments by pair, where there are enough common values."""
     vx, vy = F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
     cov = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
     sim = F.when((vx <= FLAT) | (vy <= FLAT), 0.0).otherwise(cov / F.sqrt(F.greatest(vx, F.lit(FLAT)) * F.greatest(vy, F.lit(FLAT))))
+    return sums.where(F.col("n") >= least).select("a", "b", "n", sim.alias("sim"))
+
+
+def inverse_frequency(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(item, w): ln of the number of keys over those that have the item, of distinct rows; an item that all have weighs nothing."""
+    total = rows.agg(F.count_distinct(key).alias("total"))
+    held = rows.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
+    return held.crossJoin(F.broadcast(total)).select(item, F.log(F.col("total") / F.col("n")).alias("w"))
+
+
+def pearson_weighted(rows: DataFrame, key: str, item: str, value: str, weights: DataFrame, least: int = 3) -> DataFrame:
+    """(a, b, n, sim): as pearson, each common item weighed by weights (item, w)."""
+    heavy = rows.join(weights, item).where("w > 0").select(key, item, value, "w")
+    x, y, w = F.col(f"x_{value}"), F.col(f"y_{value}"), F.col("x_w")
+    s = common(heavy, key, item, value, "w").groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"), F.sum(w * x * y).alias("xy")
+    )
+    vx, vy = F.col("xx") - F.col("x") * F.col("x") / F.col("w"), F.col("yy") - F.col("y") * F.col("y") / F.col("w")
+    cov = F.col("xy") - F.col("x") * F.col("y") / F.col("w")
+    sim = F.when((vx <= FLAT) | (vy <= FLAT), 0.0).otherwise(cov / F.sqrt(F.greatest(vx, F.lit(FLAT)) * F.greatest(vy, F.lit(FLAT))))
     return s.where(F.col("n") >= least).select("a", "b", "n", sim.alias("sim"))
 
 

@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.text import HEX, word_bits
 from ..shipping import ship
 from .relational import top_k
 
@@ -113,6 +115,40 @@ def nb_predict(tokens: DataFrame, counts: DataFrame, priors: DataFrame, key: str
     return sums.crossJoin(F.broadcast(priors)).select(key, *(F.when(zero(label), 0).otherwise(1).alias(label) for label in labels))
 
 
+def simhash(counts: DataFrame, key: str) -> DataFrame:
+    """(key, fingerprint): bit i is set if, weighed by counts (key, word, f), more words have it set than not. Sums by bit are partial before the shuffle."""
+    bits = range(4 * HEX)
+    word = counts.withColumn("b", word_bits(F.col("word")))
+    sums = word.groupBy(key).agg(*(F.sum(F.when(F.getbit("b", F.lit(i)) == 1, F.col("f")).otherwise(-F.col("f"))).alias(f"b{i}") for i in bits))
+    fingerprint = F.lit(0).cast("long")
+    for i in bits:
+        fingerprint = fingerprint + F.when(F.col(f"b{i}") > 0, F.lit(1 << i)).otherwise(0)
+    return sums.select(key, fingerprint.alias("fingerprint"))
+
+
+def one_letter_apart(words: DataFrame) -> DataFrame:
+    """(a, b), a < b: words (word), distinct, that differ in one letter of one length. They share the form with that place left open."""
+    place = F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")
+    open_ = words.where("word <> ''").select("word", place).select("word", "i", F.concat(F.expr("substring(word, 1, i - 1)"), F.lit("\x00"), F.expr("substring(word, i + 1)")).alias("v"))
+    return open_.select(F.col("word").alias("a"), "v").join(open_.select(F.col("word").alias("b"), "v"), "v").where("a < b").select("a", "b")
+
+
+def posting_segments(counts: DataFrame, key: str, width: int) -> DataFrame:
+    """(word, segment, postings): as postings, cut by ranges of width keys (numbers), so that no row holds more than width of them."""
+    one = F.struct(F.col(key).alias("k"), "f")
+    listed = counts.groupBy("word", F.floor(F.col(key) / width).alias("segment")).agg(F.array_sort(F.collect_list(one)).alias("l"))
+    return listed.select("word", "segment", F.array_join(F.transform("l", lambda p: F.concat_ws(":", p.k.cast("string"), p.f.cast("string"))), " ").alias("postings"))
+
+
+def heaps(first: DataFrame, tokens: DataFrame, points: int) -> DataFrame:
+    """One row (b, log_k, n) of the line through ln V over ln N, V = k N^b: vocabulary and tokens after each of so many equal ranges of
+    the texts' numbers. first (p): the range that each word is first met in; tokens (p, n): tokens by range. Only ranges with tokens are points."""
+    new = first.groupBy("p").agg(F.count(F.lit(1)).alias("new"))
+    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as points
+    grown = tokens.join(new, "p", "left").select("p", F.log(F.sum("n").over(w)).alias("x"), F.log(F.sum(F.coalesce("new", F.lit(0))).over(w)).alias("y"))
+    return grown.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("log_k"), F.count(F.lit(1)).alias("n"))
+
+
 def viterbi(tokens: DataFrame, key: str, transition: np.ndarray, n_tags: int, unknown: int = 5) -> DataFrame:
     """(key, pos, tag): best path in log space over tokens (key, pos, emission: array of n_tags probabilities or null for an unknown word).
 

@@ -254,8 +254,8 @@ def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     return cluster.nearest(p, centres).select(F.col("id").alias("vec_id"), F.col("cluster").alias("label"), F.round("d", 6).alias("d"))
 
 
-@query(f"WITH {_E}, q AS (SELECT vec_id, e.label, sqrt(sum(power((x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 2))) AS d FROM e JOIN c USING (label, i) GROUP BY 1, 2) SELECT vec_id, label, round(d, 6) AS d FROM q WHERE d > 1.1 * sqrt(64)")
-def mahalanobis_outliers(spark: SparkSession, d: str, alpha: float = 1.1) -> DataFrame:
+@query(f"WITH {_E}, q AS (SELECT vec_id, e.label, sqrt(sum(power((x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 2))) AS d FROM e JOIN c USING (label, i) GROUP BY 1, 2) SELECT vec_id, label, round(d, 6) AS d FROM q WHERE d > 2 * sqrt(64)")
+def mahalanobis_outliers(spark: SparkSession, d: str, alpha: float = 2.0) -> DataFrame:
     p = _points(spark, d)
     far = p.join(cluster.summaries(p, "label"), "label").withColumn("d", cluster.mahalanobis(F.col("v"), F.col("mean"), F.col("sd")))
     return far.where(F.col("d") > alpha * F.sqrt(F.size("v"))).select(F.col("id").alias("vec_id"), "label", F.round("d", 6).alias("d"))
@@ -363,19 +363,23 @@ def eval_precision_recall(spark: SparkSession, d: str) -> DataFrame:
 K, ROUNDS = 10, 3
 
 
-def _kmeans_sql() -> str:
+def _kmeans_sql(rounds: int = ROUNDS) -> str:
     steps = [f"e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c0 AS (SELECT r AS cluster, i, x AS m FROM e JOIN (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS r FROM embeddings ORDER BY vec_id LIMIT {K}) USING (vec_id))"]
-    for t in range(ROUNDS + 1):
+    for t in range(rounds + 1):
         steps.append(f"a{t} AS (SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster FROM (SELECT vec_id, cluster, sqrt(sum((x - m) * (x - m))) AS d FROM e JOIN c{t} USING (i) GROUP BY 1, 2) GROUP BY 1)")
         steps.append(f"c{t + 1} AS (SELECT c{t}.cluster, c{t}.i, coalesce(n.m, c{t}.m) AS m FROM c{t} LEFT JOIN (SELECT cluster, i, avg(x) AS m FROM e JOIN a{t} USING (vec_id) GROUP BY 1, 2) n ON n.cluster = c{t}.cluster AND n.i = c{t}.i)")
     return ", ".join(steps)
 
 
+def _seeds(p: DataFrame) -> DataFrame:
+    """The K points of lowest id."""
+    first = p.orderBy("id").limit(K)
+    return first.select((F.rank().over(Window.orderBy("id")) - 1).alias("cluster"), F.col("v").alias("mean"))  # K rows
+
+
 def _kmeans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = _points(spark, d).select("id", "v")
-    first = p.orderBy("id").limit(K)
-    seeds = first.select((F.rank().over(Window.orderBy("id")) - 1).alias("cluster"), F.col("v").alias("mean"))  # K rows
-    return cluster.kmeans(p, seeds, ROUNDS)
+    return cluster.kmeans(p, _seeds(p), ROUNDS)
 
 
 @query(f"WITH {_kmeans_sql()} SELECT vec_id, cluster FROM a{ROUNDS}")

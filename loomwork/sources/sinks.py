@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,11 @@ def write_model(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    """What write_model wrote: a model is a table, so it is used as it was before."""
+    return spark.read.parquet(path)
+
+
 def long_report(**sections: DataFrame) -> DataFrame:
     """(section, metric, n) from DataFrames (metric, n)."""
     out = None

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -89,3 +90,22 @@ def kml_points(spark: SparkSession, path: str) -> DataFrame:
     at = F.split(F.trim(F.regexp_extract("p", r"(?s)<coordinates>\s*([^<]*?)\s*</coordinates>", 1)), ",")
     one = spark.read.option("wholetext", True).text(path).select(mark)
     return one.select(F.regexp_extract("p", r"(?s)<name>\s*(.*?)\s*</name>", 1).alias("name"), at[0].cast("double").alias("x"), at[1].cast("double").alias("y"))
+
+
+def insert_literals(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """Rows that INSERT INTO name (...) VALUES (...), (...) statements of SQL scripts give, in the order of the schema's columns. Values are
+    numbers, NULL, or text in single or double quotes, in which a doubled quote is one; comments begin with two dashes. A script is one text."""
+    value = r"""(?:'(?:[^']|'')*+'|"(?:[^"]|"")*+"|[^\s,()'"]++)"""
+    script = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"(?m)--.*$", "").alias("s"))
+    statement = rf"(?is)\binsert\s+into\s+`?{name}`?\s*(?:\([^)]*\))?\s*values\s*((?:\(\s*{value}(?:\s*,\s*{value})*+\s*\)\s*,?\s*)++)"
+    rows = script.select(F.explode(F.regexp_extract_all("s", F.lit(statement), F.lit(1))).alias("v"))
+    rows = rows.select(F.explode(F.regexp_extract_all("v", F.lit(rf"\(\s*({value}(?:\s*,\s*{value})*+)\s*\)"), F.lit(1))).alias("r"))
+    cells = rows.select(F.regexp_extract_all("r", F.lit(value), F.lit(0)).alias("c"))
+
+    def plain(i: int) -> Column:
+        c = F.try_element_at("c", F.lit(i + 1))
+        quoted = lambda q: F.replace(F.expr(f"substring(c[{i}], 2, length(c[{i}]) - 2)"), F.lit(q * 2), F.lit(q))
+        return F.when(F.upper(c) == "NULL", F.lit(None)).when(c.startswith("'"), quoted("'")).when(c.startswith('"'), quoted('"')).otherwise(c)
+
+    fields = StructType.fromDDL(schema).fields
+    return cells.select(*(plain(i).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)))
