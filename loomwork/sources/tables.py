@@ -75,7 +75,7 @@ def numeric_rounds(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, value): a row for each file of a tree; a class is read off the path by the caller."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def tsv_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -88,15 +88,15 @@ def kml_points(spark: SparkSession, path: str) -> DataFrame:
     """(name, x, y) of the placemarks of a KML file: x is the longitude."""
     mark = F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<Placemark>(.*?)</Placemark>"), F.lit(1))).alias("p")
     at = F.split(F.trim(F.regexp_extract("p", r"(?s)<coordinates>\s*([^<]*?)\s*</coordinates>", 1)), ",")
-    one = spark.read.option("wholetext", True).text(path).select(mark)
+    one = spark.read.text(path, wholetext=True).select(mark)
     return one.select(F.regexp_extract("p", r"(?s)<name>\s*(.*?)\s*</name>", 1).alias("name"), at[0].cast("double").alias("x"), at[1].cast("double").alias("y"))
 
 
 def insert_literals(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     """Rows that INSERT INTO name (...) VALUES (...), (...) statements of SQL scripts give, in the order of the schema's columns. Values are
     numbers, NULL, or text in single or double quotes, in which a doubled quote is one; comments begin with two dashes. A script is one text."""
-    value = r"""(?:'(?:[^']|'')*+'|"(?:[^"]|"")*+"|[^\s,()'"]++)"""
-    script = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"(?m)--.*$", "").alias("s"))
+    value = r"""(?:'[^']*+(?:''[^']*+)*+'|"[^"]*+(?:""[^"]*+)*+"|[^\s,()'"]++)"""
+    script = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?m)--.*$", "").alias("s"))
     statement = rf"(?is)\binsert\s+into\s+`?{name}`?\s*(?:\([^)]*\))?\s*values\s*((?:\(\s*{value}(?:\s*,\s*{value})*+\s*\)\s*,?\s*)++)"
     rows = script.select(F.explode(F.regexp_extract_all("s", F.lit(statement), F.lit(1))).alias("v"))
     rows = rows.select(F.explode(F.regexp_extract_all("v", F.lit(rf"\(\s*({value}(?:\s*,\s*{value})*+)\s*\)"), F.lit(1))).alias("r"))
