@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions import text as fn
 from ..operators import cluster, crawl, geo, graph, itemsets, more, search, series
 from ..operators import similarity as sim
@@ -184,6 +185,14 @@ def ts_growth(spark: SparkSession, d: str) -> DataFrame:
     return ratio.select("event_type", "day", F.round(series.cumulative_product(F.col("q"), "event_type", "day"), 6).alias("v"))
 
 
+@query("""SELECT CAST(k AS INTEGER) AS k, CAST(r AS INTEGER) AS rate, round(exp(k * ln(r) - r - lgamma(k + 1)), 9) AS poisson, round(CASE WHEN k > 0 THEN exp((r + 0.5::DOUBLE - 1) * ln(k) - k - lgamma(r + 0.5::DOUBLE)) ELSE 0 END, 9) AS gamma
+FROM range(61) x(k) CROSS JOIN range(1, 31) y(r)""")
+def density_table(spark: SparkSession, d: str) -> DataFrame:
+    """Poisson's probabilities of k at each rate, and the gamma density at k of the shape half above the rate."""
+    both = spark.range(61).select(F.col("id").cast("int").alias("k")).crossJoin(F.broadcast(spark.range(1, 31).select(F.col("id").cast("int").alias("rate"))))
+    return both.select("k", "rate", F.round(stats.poisson(F.col("k"), F.col("rate")), 9).alias("poisson"), F.round(stats.gamma(F.col("k"), F.col("rate") + 0.5), 9).alias("gamma"))
+
+
 @query("SELECT vec_id, printf('POINT(%.6f %.6f)', CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)) AS wkt FROM embeddings")
 def geo_wkt(spark: SparkSession, d: str) -> DataFrame:
     return _plane(spark, d).select(F.col("id").alias("vec_id"), geo.wkt(F.format_string("%.6f", "x"), F.format_string("%.6f", "y")).alias("wkt"))

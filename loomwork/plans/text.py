@@ -357,7 +357,18 @@ def token_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return x.join(best, "a").agg(F.round(F.sum(F.when(F.col("b") == F.col("best"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"), F.sum("n").alias("n"))
 
 
-@query()
+_VITERBI = f"""WITH RECURSIVE {_MOVES}, mv AS MATERIALIZED (SELECT a, b, (n + 1) / (sum(n) OVER (PARTITION BY a) + count(*) OVER (PARTITION BY a)) AS p FROM x),
+em AS MATERIALIZED (SELECT tag, word, round(count(*) / sum(count(*)) OVER (PARTITION BY tag), 9) AS p FROM g GROUP BY 1, 2),
+tk AS (SELECT item_id, i - 1 AS pos, w[i] AS word FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, {SQL_AZ} AS w FROM benchmark))),
+sc AS MATERIALIZED (SELECT item_id, pos, r.tag, CASE WHEN em.p > 0 THEN ln(em.p) ELSE 0 END AS e FROM tk CROSS JOIN (SELECT CAST(range AS INTEGER) AS tag FROM range(4)) r LEFT JOIN em ON em.word = tk.word AND em.tag = r.tag WHERE em.p > 0 OR tk.word NOT IN (SELECT word FROM em)),
+v AS (SELECT item_id, pos, tag, ln(p) + e AS s, [tag] AS path FROM sc JOIN mv ON a = 'START' AND b = CAST(tag AS VARCHAR) WHERE pos = 0
+  UNION ALL SELECT v.item_id, sc.pos, sc.tag, max(v.s + ln(p)) + any_value(sc.e), list_append(arg_max(v.path, (v.s + ln(p), -v.tag)), sc.tag)
+  FROM v JOIN sc ON sc.item_id = v.item_id AND sc.pos = v.pos + 1 JOIN mv ON a = CAST(v.tag AS VARCHAR) AND b = CAST(sc.tag AS VARCHAR) GROUP BY 1, 2, 3),
+z AS (SELECT item_id, arg_max(path, (s + ln(p), -tag)) AS path FROM v JOIN mv ON a = CAST(tag AS VARCHAR) AND b = 'END' JOIN (SELECT item_id, max(pos) AS pos FROM tk GROUP BY 1) USING (item_id, pos) GROUP BY 1)
+SELECT item_id, CAST(i - 1 AS INTEGER) AS pos, path[i] AS tag FROM (SELECT item_id, path, unnest(range(1, len(path) + 1)) AS i FROM z)"""
+
+
+@query(_VITERBI)
 def hmm_decode(spark: SparkSession, d: str) -> DataFrame:
     """Viterbi tags of the benchmark items under the model of the documents."""
     rows = {(r.a, r.b): r.p for r in _transition(spark, d).collect()}  # (tags + 1) squared
