@@ -3,7 +3,9 @@
 Every text is a set of word n-grams, known by 64-bit hashes; texts with one set are one class, known
 by a 64-bit key. The global order puts n-grams by document frequency, then hash.
 
-1. The sets are cut by hash range into parts and shuffled packed, one block of bytes for each task
+1. A first pass finds the n-grams of very many classes, with a summary of bounded size for each task. They go
+   with their classes and need no part; their summed count stands for their frequency, the same for all.
+   The other sets are cut by hash range into parts and shuffled packed, one block of bytes for each task
    and part. A part knows the exact frequency of each of its n-grams; an n-gram of one class alone
    cannot be in any overlap and is dropped with its count.
 2. Blocks go back by class. A class is out unless it shares enough n-grams with others at all. The
@@ -39,6 +41,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 #: Bytes of text for each part of the hash range, least number of parts, and n-grams of a block.
 PART_BYTES, LEAST_PARTS, BLOCK = 16 << 20, 64, 1_000_000
+#: Classes that make an n-gram heavy, and n-grams that a summary holds: of all T n-grams, one of T / SUMMARY + HEAVY classes is found for certain.
+HEAVY, SUMMARY = 4096, 1 << 18
 #: Words that a worker keeps, rounds with leaders, longest list whose members meet in pairs, classes and n-grams of a matrix, salts of a component.
 KEPT_WORDS, ROUNDS, SHORT, SIDE, COLUMNS, SALTS = 200_000, 3, 48, 512, 4096, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -103,8 +107,53 @@ def _table(rows: list[tuple], ids: pa.Array, kinds: list[pa.DataType]) -> pa.Rec
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
 
-def _cut_sets(df: DataFrame, id_col: str, text_col: str, n: int, bits: int) -> DataFrame:
-    """Rows of kind 0: id, key and size of each text. Of kind 1: for each block and part, keys, counts and packed hashes."""
+def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by n-gram; beyond SUMMARY n-grams all lose the first count that has no room."""
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
+    head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, dtype=np.int64)
+    h, c = h[head], np.add.reduceat(c, head) if len(head) else c
+    if len(h) > SUMMARY:
+        c = c - np.partition(c, len(c) - SUMMARY - 1)[len(c) - SUMMARY - 1]
+        h, c = h[c > 0], c[c > 0]
+    return h, c
+
+
+def heavy_ngrams(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the n-grams of very many classes, and their counts, at most SUMMARY of them. A text that a task meets again does not count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, c = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        seen: set[int] = set()
+        held, size, total = [], 0, 0
+        for batch in batches:
+            for text in texts(batch.column("text")):
+                own = shingles(text, n)
+                if len(own) and (key := set_key(own)) not in seen:
+                    seen.add(key)
+                    held.append(own)
+                    size += len(own)
+                if size >= BLOCK:
+                    h, c = _summed(np.concatenate([h, *held]), np.concatenate((c, np.ones(size, dtype=np.int64))))
+                    held, size, total = [], 0, total + size
+        h, c = _summed(np.concatenate([h, *held]), np.concatenate((c, np.ones(size, dtype=np.int64))))
+        keep = c >= max(1, (total + size) // SUMMARY)
+        _known.clear()
+        trim()
+        for at in range(0, int(keep.sum()), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep][at : at + 10_000].astype(np.int64)) for x in (h, c)], ["h", "c"])
+
+    summed = df.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    heavy = summed.where(F.col("c") >= HEAVY).orderBy(F.desc("c"), "h").limit(SUMMARY).toPandas()  # SUMMARY rows at most
+    h, c = heavy["h"].to_numpy(dtype=np.int64).view(np.uint64), heavy["c"].to_numpy(dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], np.minimum(c[order], (1 << 32) - 1).astype(np.uint32)
+
+
+def _cut_sets(df: DataFrame, id_col: str, text_col: str, n: int, bits: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows of kind 0: id, key and size of each text. Of kind 1: for each block and part, keys, counts and packed hashes. Of kind 2: for each
+    block and bucket of classes, keys, counts, hashes and frequencies of heavy n-grams."""
+    shared = df.sparkSession.sparkContext.broadcast(heavy)  # SUMMARY entries at most
     schema = f"id {df.schema[id_col].dataType.simpleString()}, {BLOB}"
     size, parts_ = 8 - bits // 8, 1 << bits
 
@@ -113,12 +162,18 @@ def _cut_sets(df: DataFrame, id_col: str, text_col: str, n: int, bits: int) -> D
             return []
         h = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        key = np.array(keys, dtype=np.int64)
+        rows = []
+        many, often = shared.value
+        if len(many):
+            at = np.minimum(np.searchsorted(many, h), len(many) - 1)
+            hot = many[at] == h
+            rows = _by_bucket(2, key[owner[hot]], h[hot], often[at[hot]], parts_)
+            h, owner = h[~hot], owner[~hot]
         part = (h >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         h, owner, part = h[order], owner[order], part[order]
         cuts = np.searchsorted(part, np.arange(parts_ + 1))
-        key = np.array(keys, dtype=np.int64)
-        rows = []
         for p in np.unique(part).tolist():
             a, b = cuts[p], cuts[p + 1]
             head = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
@@ -159,11 +214,24 @@ def _cut_sets(df: DataFrame, id_col: str, text_col: str, n: int, bits: int) -> D
     return df.select(df[id_col].alias("id"), df[text_col].alias("__text")).mapInArrow(run, schema)
 
 
+def _by_bucket(kind: int, owner: np.ndarray, h: np.ndarray, df: np.ndarray, parts_: int) -> list[tuple]:
+    """For each bucket of classes: their keys, how many n-grams each has, these and their frequencies."""
+    bucket = owner % parts_
+    order = np.lexsort((owner, bucket))
+    h, owner, df, bucket = h[order], owner[order], df[order], bucket[order]
+    rows = []
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    for a, b in zip(edges, [*edges[1:], len(h)], strict=False):
+        first = np.flatnonzero(np.concatenate(([True], owner[a + 1 : b] != owner[a : b - 1])))
+        rows.append((kind, int(bucket[a]), None, None, owner[a:b][first].tobytes(), np.diff(first, append=b - a).astype(np.uint32).tobytes(), h[a:b].astype("<u8").tobytes(), df[a:b].tobytes()))
+    return rows
+
+
 def _of_part(table: pa.Table, bits: int) -> pa.Table:
-    """Rows of kind 0 as they are; of kind 1, the n-grams that two classes or more have, by class."""
+    """Rows of kind 0 and 2 as they are; of kind 1, the n-grams that two classes or more have, by class."""
     size, parts_ = 8 - bits // 8, 1 << bits
     kind = np.array(table.column("kind"))
-    light = table.filter(pa.array(kind == 0))
+    light = table.filter(pa.array(kind != 1))
     packed = table.filter(pa.array(kind == 1))
     if not len(packed):
         return light
@@ -179,15 +247,7 @@ def _of_part(table: pa.Table, bits: int) -> pa.Table:
     head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     df = np.repeat(np.diff(head, append=len(h)), np.diff(head, append=len(h)))
     shared = df > 1
-    h, owner, df = h[shared], owner[shared], df[shared].astype(np.uint32)
-    bucket = owner % parts_
-    order = np.lexsort((owner, bucket))
-    h, owner, df, bucket = h[order], owner[order], df[order], bucket[order]
-    rows = []
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(h)], strict=False):
-        first = np.flatnonzero(np.concatenate(([True], owner[a + 1 : b] != owner[a : b - 1])))
-        rows.append((1, int(bucket[a]), None, None, owner[a:b][first].tobytes(), np.diff(first, append=b - a).astype(np.uint32).tobytes(), h[a:b].astype("<u8").tobytes(), df[a:b].tobytes()))
+    rows = _by_bucket(1, owner[shared], h[shared], df[shared].astype(np.uint32), parts_)
     new = _table(rows, pa.nulls(len(rows), table.schema.field("id").type), _KINDS)
     return pa.concat_tables([light.cast(new.schema), pa.Table.from_batches([new])])
 
@@ -198,7 +258,7 @@ CLASS = "key long, n int, fragment int, hashes array<long>, prefix array<long>,
 def _of_bucket(table: pa.Table, percent: int) -> pa.Table:
     """The classes that share enough n-grams to have a link: their hashes by fragment, and their prefixes (in one of the rows)."""
     kind = np.array(table.column("kind"))
-    light, packed = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
+    light, packed = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind != 0))
     out: list[tuple] = []
     if len(packed):
         sizes = dict(zip(light.column("key").to_pylist(), light.column("n").to_pylist(), strict=True))
@@ -208,6 +268,9 @@ def _of_bucket(table: pa.Table, percent: int) -> pa.Table:
         h, df = np.frombuffer(join("hashes"), dtype="<u8"), np.frombuffer(join("dfs"), dtype=np.uint32)
         order = np.lexsort((h, df, owner))
         h, df, owner = h[order], df[order], owner[order]
+        if len(owner):  # a heavy n-gram comes once from each task that has met its class
+            once = np.concatenate(([True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])))
+            h, df, owner = h[once], df[once], owner[once]
         head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))).tolist() if len(owner) else []
         for a, b in zip(head, [*head[1:], len(h)], strict=False):
             n, shared = sizes[int(owner[a])], b - a
@@ -312,13 +375,13 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     bits = part_bits(df, text_col)
     blobs = f"id {df.schema[id_col].dataType.simpleString()}, {BLOB}"
-    sets = _cut_sets(df, id_col, text_col, n, bits)
+    sets = _cut_sets(df, id_col, text_col, n, bits, heavy_ngrams(df, text_col, n))
     shared = written(sets.groupBy("part").applyInArrow(lambda t: _of_part(t, bits), blobs), "ngrams")
     release(spark)
     rows = shared.where("kind = 0").select("id", "key", "n")
     sized = rows.where("key is not null").select("key", "n").distinct()
     light = sized.select(F.lit(0).alias("kind"), F.pmod("key", F.lit(1 << bits)).cast("int").alias("part"), "key", "n", *(F.lit(None).cast("binary").alias(c) for c in NAMES[4:]))
-    found = light.unionByName(shared.where("kind = 1").select(*NAMES)).groupBy("part").applyInArrow(lambda t: _of_bucket(t, percent), CLASS)
+    found = light.unionByName(shared.where("kind > 0").select(*NAMES)).groupBy("part").applyInArrow(lambda t: _of_bucket(t, percent), CLASS)
     classes = written(found, "classes")
     release(spark)
     prefix = classes.where("prefix is not null").select("key", "n", F.explode(F.arrays_zip("prefix", "depths")).alias("p")).select(F.col("p.prefix").alias("h"), "key", "n", F.col("p.depths").alias("d"))

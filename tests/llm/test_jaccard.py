@@ -67,3 +67,33 @@ def test_keep_one(spark):
     rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, "z"), (6, None), (7, None)]
     got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == [3, 4, 6, 7]
+
+
+@pytest.mark.parametrize("summary", [1 << 18, 4000, 40])
+def test_heavy_ngrams(spark, monkeypatch, summary):
+    """N-grams of many classes go another way and give the same links, however many of them the summary holds."""
+    monkeypatch.setattr(jaccard, "HEAVY", 3)
+    monkeypatch.setattr(jaccard, "SUMMARY", summary)
+    monkeypatch.setattr(jaccard, "BLOCK", 300)
+    rows = documents(8)
+    found, counts = jaccard.heavy_ngrams(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "text", 5)
+    assert (summary == 40 or len(found)) and len(found) <= summary and (counts >= 3).all()
+    assert run(spark, rows) == brute(rows)
+
+
+def test_summary_finds_what_is_certain(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "SUMMARY", 20)
+    rng = np.random.default_rng(1)
+    h, c = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    every = []
+    for _ in range(30):
+        block = np.concatenate((rng.integers(100, 10_000, 200), np.repeat([1, 2, 3], [40, 25, 15]))).astype(np.uint64)
+        every.append(block)
+        h, c = jaccard._summed(np.concatenate((h, block)), np.concatenate((c, np.ones(len(block), dtype=np.int64))))
+    total = sum(map(len, every))
+    got = dict(zip(h.tolist(), c.tolist(), strict=True))
+    assert len(got) <= 20
+    for x, n in ((1, 1200), (2, 750), (3, 450)):
+        assert n - total / 21 <= got.get(x, 0) <= n
