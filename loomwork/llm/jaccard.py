@@ -414,6 +414,7 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         last, label = label, components(label.select(F.col("key").alias("a"), F.col("component").alias("b")).unionByName(new))
         discard(last, new, before)
         before = held
+        release(spark)
     discard(classes, prefix, before)
     release(spark)
     return rows, label
