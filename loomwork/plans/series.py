@@ -72,17 +72,16 @@ def ts_cumulative(spark: SparkSession, d: str) -> DataFrame:
 GRID = 121
 _RT = f"""{_D}, k AS (SELECT event_type, CAST(row_number() OVER w AS INTEGER) AS t, n, lag(n) OVER w AS p FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day)),
 g AS (SELECT i / 10.0::DOUBLE AS r FROM range({GRID}) x(i)),
-l AS (SELECT event_type, t, r, n * (ln(p) + (r - 1) / 7) - p * exp((r - 1) / 7) AS ll FROM k CROSS JOIN g WHERE t BETWEEN 2 AND 4),
+l AS (SELECT event_type, t, r, n * (ln(p) + (r - 1) / 7) - p * exp((r - 1) / 7) AS ll FROM k CROSS JOIN g WHERE t >= 2),
 c AS (SELECT event_type, t, r, sum(ll) OVER (PARTITION BY event_type, r ORDER BY t) AS ll FROM l),
 e AS (SELECT event_type, t, r, exp(ll - max(ll) OVER (PARTITION BY event_type, t)) AS x FROM c),
 po AS (SELECT event_type, t, r, x / sum(x) OVER (PARTITION BY event_type, t) AS p FROM e)"""
 
 
-def _posterior(spark: SparkSession, d: str, last: int | None = 4) -> DataFrame:
-    """(event_type, t, r, p) from the second day to day last, or to the end: the product of Poisson likelihoods over the grid, normalised. Series of a calendar's length times a fixed grid."""
+def _posterior(spark: SparkSession, d: str) -> DataFrame:
+    """(event_type, t, r, p) from the second day on: the product of Poisson likelihoods over the grid, normalised. Series of a calendar's length times a fixed grid."""
     w = _day_window()
     k = _daily(spark, d).select("event_type", F.row_number().over(w).alias("t"), "n", F.lag("n").over(w).alias("prev")).where("t >= 2")
-    k = k if last is None else k.where(F.col("t") <= last)
     grid = spark.range(GRID).select((F.col("id") / 10).alias("r"))
     ll = F.col("n") * (F.log("prev") + (F.col("r") - 1) / 7) - F.col("prev") * F.exp((F.col("r") - 1) / 7)
     c = k.crossJoin(F.broadcast(grid)).withColumn("ll", F.sum(ll).over(Window.partitionBy("event_type", "r").orderBy("t")))
@@ -93,31 +92,16 @@ def _posterior(spark: SparkSession, d: str, last: int | None = 4) -> DataFrame:
 
 @query(f"WITH {_RT} SELECT event_type, t AS day, round(r, 1) AS r, round(p, 6) AS p FROM po")
 def rt_posterior_simple(spark: SparkSession, d: str) -> DataFrame:
-    """The first four daily counts, as the SQL has it; rt_posterior_daily takes all."""
+    """For every day from the second on."""
     return _posterior(spark, d).select("event_type", F.col("t").alias("day"), F.round("r", 1).alias("r"), F.round("p", 6).alias("p"))
 
 
-@query()
-def rt_posterior_daily(spark: SparkSession, d: str) -> DataFrame:
-    """As rt_posterior_simple, for every day from the second on."""
-    return _posterior(spark, d, None).select("event_type", F.col("t").alias("day"), F.round("r", 1).alias("r"), F.round("p", 6).alias("p"))
-
-
 @query(f"""WITH {_RT}, s AS (SELECT event_type, t, CAST(round(r * 10) AS INTEGER) AS i, round(sum(p) OVER (PARTITION BY event_type, t ORDER BY r), 9) AS c FROM po),
 h AS (SELECT a.event_type, a.t, arg_min({{'lo': a.i, 'hi': b.i}}, (b.i - a.i, a.i)) AS z FROM s a JOIN s b ON a.event_type = b.event_type AND a.t = b.t AND b.i > a.i AND b.c - a.c > 0.9 GROUP BY 1, 2)
 SELECT event_type, t AS day, round(z.lo / 10.0::DOUBLE, 1) AS low, round(z.hi / 10.0::DOUBLE, 1) AS high FROM h""")
 def hdi(spark: SparkSession, d: str, mass: float = 0.9) -> DataFrame:
-    """Shortest interval whose mass above its low end is more than mass, of the first four daily counts, as the SQL has it; hdi_daily takes all."""
-    return _hdi(_posterior(spark, d), mass)
-
-
-@query()
-def hdi_daily(spark: SparkSession, d: str, mass: float = 0.9) -> DataFrame:
-    """As hdi, for every day from the second on."""
-    return _hdi(_posterior(spark, d, None), mass)
-
-
-def _hdi(posterior: DataFrame, mass: float) -> DataFrame:
+    """Shortest interval whose mass above its low end is more than mass, for every day from the second on."""
+    posterior = _posterior(spark, d)
     w = Window.partitionBy("event_type", "t").orderBy("r")
     s = posterior.select("event_type", "t", F.round(F.col("r") * 10).cast("int").alias("i"), F.round(F.sum("p").over(w), 9).alias("c"))
     b = s.select("event_type", "t", F.col("i").alias("j"), F.col("c").alias("e"))

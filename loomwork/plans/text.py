@@ -245,7 +245,10 @@ def edit_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
     return ops.near_words(words, words).where((F.col("word") < F.col("other")) & (F.levenshtein("word", "other") == 1)).select(F.col("word").alias("a"), F.col("other").alias("b"))
 
 
-@query()
+_NEAR = "v AS MATERIALIZED (SELECT word, unnest(list_distinct(list_append(list_transform(range(1, len(word) + 1), lambda i: word[:i - 1] || word[i + 1:]), word))) AS v FROM dict)"
+
+
+@query(f"WITH {_DICT}, {_NEAR} SELECT DISTINCT x.word AS a, y.word AS b FROM v x JOIN v y ON x.v = y.v AND x.word < y.word AND levenshtein(x.word, y.word) = 1")
 def edit_distance_pairs_documents(spark: SparkSession, d: str) -> DataFrame:
     """As edit_distance_pairs, over every word of the documents. A form with one letter deleted has at most 26 words a place, so candidates grow with the words."""
     words = _dictionary(spark, d).select("word")

@@ -86,11 +86,11 @@ def test_posterior_and_interval_of_every_day(spark):
             c = np.round(np.cumsum(p), 9)
             _, low, high = min((j - i, i, j) for i in range(121) for j in range(i + 1, 121) if c[j] - c[i] > 0.9)
             intervals[kind, t + 1] = (low / 10, high / 10)
-    got = QUERIES["rt_posterior_daily"](spark, D).toPandas()
+    got = QUERIES["rt_posterior_simple"](spark, D).toPandas()
     assert len(got) == 121 * len(want) and {t for _, t in want} == set(range(2, 31))
     for key, g in got.groupby(["event_type", "day"]):
         assert g.sort_values("r").p.to_numpy() == pytest.approx(want[key], abs=1e-6)
-    assert {(x.event_type, x.day): (x.low, x.high) for x in QUERIES["hdi_daily"](spark, D).collect()} == intervals
+    assert {(x.event_type, x.day): (x.low, x.high) for x in QUERIES["hdi"](spark, D).collect()} == intervals
 
 
 def test_graphs_of_any_depth(spark, monkeypatch):
