@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 #: Clusters of the first sample with fewer points than this are outliers; rounds of k-means on it at most.
 SMALL, LLOYD = 10, 30
 
@@ -49,9 +53,15 @@ def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(one)).select("id", near.alias("m")).where("m is not null").select("id", F.col("m.cluster").alias("cluster"), F.col("m.d").alias("d"))
 
 
+def _constant(rows: list[dict], fields: str) -> Column:
+    """A few rows as one constant array, whatever their number."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<cluster:int,{fields}>>")
+
+
 def nearest_wide(points: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFrame:
-    """As nearest, with the points' columns and no shuffle: the centres are literals of one expression."""
-    choice = F.array_min(F.array(*(F.struct(distance(F.col("v"), F.array(*map(F.lit, m))).alias("d"), F.lit(c).alias("cluster")) for c, m in centres)))
+    """As nearest, with the points' columns and no shuffle: the centres are a constant of the expression."""
+    table = _constant([{"cluster": c, "mean": m} for c, m in centres], "mean:array<double>")
+    choice = F.array_min(F.transform(table, lambda c: F.struct(distance(F.col("v"), c["mean"]).alias("d"), c["cluster"].alias("cluster"))))
     return points.withColumn("__m", choice).select(*points.columns, F.col("__m.cluster").alias("cluster"), F.col("__m.d").alias("d"))
 
 
@@ -122,12 +132,14 @@ class Bfr:
         """points with cluster, null where no cluster of the set is near enough."""
         if not sets:
             return points.withColumn("cluster", F.lit(None).cast("int"))
-        near = F.array_min(F.array(*(F.struct(mahalanobis(F.col("v"), *(F.array(*map(F.lit, x)) for x in self._shape(c))).alias("d"), F.lit(i).alias("cluster")) for i, c in sets.items())))
+        shapes = [dict(zip(("cluster", "mean", "sd"), (i, *self._shape(c)), strict=True)) for i, c in sets.items()]
+        table = _constant(shapes, "mean:array<double>,sd:array<double>")
+        near = F.array_min(F.transform(table, lambda c: F.struct(mahalanobis(F.col("v"), c["mean"], c["sd"]).alias("d"), c["cluster"].alias("cluster"))))
         limit = F.lit(self.alpha) * F.sqrt(F.size("v"))
         return points.withColumn("__m", near).withColumn("cluster", F.when(F.col("__m.d") < limit, F.col("__m.cluster"))).drop("__m")
 
     def _keep(self, points: DataFrame) -> DataFrame:
-        return points.checkpoint()
+        return written(points, "bfr")
 
     def _compress(self) -> None:
         if self.retained is not None and self.retained.count() >= 3 * self.k:
