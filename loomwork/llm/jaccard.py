@@ -41,8 +41,9 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 #: Bytes of text for each part of the hash range, least number of parts, and n-grams of a block.
 PART_BYTES, LEAST_PARTS, BLOCK = 16 << 20, 64, 1_000_000
-#: Classes that make an n-gram heavy, and n-grams that a summary holds: of all T n-grams, one of T / SUMMARY + HEAVY classes is found for certain.
-HEAVY, SUMMARY = 4096, 1 << 18
+#: Classes that make an n-gram heavy, n-grams that a summary holds, and what a task must count of one to tell: so many, and a share (one in so many) of its
+#: classes. Of T n-grams in N classes and K tasks, one of HEAVY + T / SUMMARY + N / SHARE + FEW * K classes is found for certain.
+HEAVY, SUMMARY, FEW, SHARE = 4096, 1 << 18, 4, 1024
 #: Words that a worker keeps, rounds with leaders, longest list whose members meet in pairs, classes and n-grams of a matrix, salts of a component.
 KEPT_WORDS, ROUNDS, SHORT, SIDE, COLUMNS, SALTS = 200_000, 3, 48, 512, 4096, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +126,7 @@ def heavy_ngrams(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         seen: set[int] = set()
-        held, size, total = [], 0, 0
+        held, size = [], 0
         for batch in batches:
             for text in texts(batch.column("text")):
                 own = shingles(text, n)
@@ -135,9 +136,9 @@ def heavy_ngrams(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.n
                     size += len(own)
                 if size >= BLOCK:
                     h, c = _summed(np.concatenate([h, *held]), np.concatenate((c, np.ones(size, dtype=np.int64))))
-                    held, size, total = [], 0, total + size
+                    held, size = [], 0
         h, c = _summed(np.concatenate([h, *held]), np.concatenate((c, np.ones(size, dtype=np.int64))))
-        keep = c >= max(1, (total + size) // SUMMARY)
+        keep = c >= max(FEW, len(seen) // SHARE)
         _known.clear()
         trim()
         for at in range(0, int(keep.sum()), 10_000):

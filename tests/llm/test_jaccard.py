@@ -74,6 +74,7 @@ def test_heavy_ngrams(spark, monkeypatch, summary):
     """N-grams of many classes go another way and give the same links, however many of them the summary holds."""
     monkeypatch.setattr(jaccard, "HEAVY", 3)
     monkeypatch.setattr(jaccard, "SUMMARY", summary)
+    monkeypatch.setattr(jaccard, "FEW", 1)
     monkeypatch.setattr(jaccard, "BLOCK", 300)
     rows = documents(8)
     found, counts = jaccard.heavy_ngrams(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "text", 5)
