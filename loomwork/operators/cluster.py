@@ -28,11 +28,13 @@ def mahalanobis(v: Column, mean: Column, sd: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(z, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
 
 
-def vector_sums(points: DataFrame, by: str, squares: bool = True) -> DataFrame:
+def vector_sums(points: DataFrame, by: str, squares: bool = True, length: int | None = None) -> DataFrame:
     """(by, n, s, ss): count and sums, with squares also of squares, by dimension; vectors of a group have one length. Sums of each
-    dimension are columns of one aggregate, so a vector is no more than a row."""
-    first = points.select(F.size("v").alias("n")).first()
-    dims = range(first.n if first else 0)
+    dimension are columns of one aggregate, so a vector is no more than a row. Without length, it is that of a first vector."""
+    if length is None:
+        first = points.select(F.size("v").alias("n")).first()
+        length = first.n if first else 0
+    dims = range(length)
     columns = [F.sum(F.col("v")[i]).alias(f"s{i}") for i in dims] + [F.sum(F.col("v")[i] * F.col("v")[i]).alias(f"q{i}") for i in dims if squares]
     wide = points.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *columns)
     whole = lambda c: F.array(*(F.col(f"{c}{i}") for i in dims)).cast("array<double>")
@@ -73,7 +75,7 @@ def kmeans(points: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame,
     not grow with the rounds."""
     centres = sorted((r.cluster, list(r["mean"])) for r in seeds.select("cluster", "mean").collect())
     for _ in range(rounds if centres else 0):
-        sums = vector_sums(nearest_wide(points, centres), "cluster", squares=False)
+        sums = vector_sums(nearest_wide(points, centres), "cluster", squares=False, length=len(centres[0][1]))
         moved = {r.cluster: [x / r.n for x in r.s] for r in sums.collect()}
         last, centres = centres, [(c, moved.get(c, m)) for c, m in centres]
         if last == centres:
@@ -99,8 +101,8 @@ class Bfr:
         self._next = k
 
     @staticmethod
-    def _sums(points: DataFrame) -> dict[int, list]:
-        return {r.cluster: [r.n, list(r.s), list(r.ss)] for r in vector_sums(points, "cluster").collect()}  # clusters
+    def _sums(points: DataFrame, length: int | None = None) -> dict[int, list]:
+        return {r.cluster: [r.n, list(r.s), list(r.ss)] for r in vector_sums(points, "cluster", length=length).collect()}  # clusters
 
     def _add(self, into: dict[int, list], new: dict[int, list]) -> None:
         for c, (n, s, ss) in new.items():
@@ -122,7 +124,7 @@ class Bfr:
         if not start:
             return points.withColumn("cluster", F.lit(0)).limit(0)
         for _ in range(rounds or self.seed_rounds):
-            sums = self._sums(nearest_wide(points, start))
+            sums = self._sums(nearest_wide(points, start), len(start[0][1]))
             last, start = start, [(c, self._shape(sums[c])[0] if c in sums else m) for c, m in start]
             if start == last:
                 break
