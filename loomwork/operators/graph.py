@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import checkpoint_dir, discard, written
+from ..scratch import discard, written
 
 #: Rounds after which an iteration is checkpointed, where the context has a folder for it.
 EVERY = 5
@@ -72,14 +72,15 @@ def directed_pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -
 def _fixed(edges: DataFrame, start: DataFrame, value: str, sent: Column) -> DataFrame:
     """start (node, value) after rounds until no value falls. Only nodes whose value fell send it in the next round. Edges and rounds are
     written, as they are read again."""
-    checkpoint_dir(edges.sparkSession)
     edges = written(edges, "edges")
     known = fallen = start.select("node", value)
+    last = None
     while True:
         heard = fallen.withColumnRenamed("node", "src").join(edges, "src").select(F.col("dst").alias("node"), sent.alias(value), F.lit(None).alias("__was"))
-        rows = known.withColumn("__was", F.col(value)).unionByName(heard).groupBy("node").agg(F.min(value).alias(value), F.min("__was").alias("__was")).persist()
-        new = rows.checkpoint()
-        rows.unpersist()
+        rows = known.withColumn("__was", F.col(value)).unionByName(heard).groupBy("node").agg(F.min(value).alias(value), F.min("__was").alias("__was"))
+        new = written(rows, "round")
+        discard(last)
+        last = new
         known, fallen = new.select("node", value), new.where(F.col("__was").isNull() | (F.col(value) < F.col("__was"))).select("node", value)
         if fallen.isEmpty():
             discard(edges)

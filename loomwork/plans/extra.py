@@ -10,11 +10,10 @@ from ..functions import text as fn
 from ..operators import cluster, crawl, geo, graph, itemsets, more, search, series
 from ..operators import similarity as sim
 from ..operators import text as ops
-from ..scratch import checkpoint_dir
 from ..sources.tables import REVIEWS, table
 from . import mining
 from .graph import LINKS, _links
-from .mining import _B, _E, _STARS, _UN, K, PAIR, _brand_rows, _hash_sql, _kmeans_sql, _pearson_sql, _points, _ratings, _seeds
+from .mining import _B, _E, _STARS, _UN, PAIR, _brand_rows, _hash_sql, _kmeans_sql, _pearson_sql, _points, _ratings, _seeds
 from .series import _D, ENDINGS, _daily, _day_window, _plane
 from .text import _AZ, _DICT, _dictionary, _docs
 
@@ -162,7 +161,6 @@ def mahalanobis_distances(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bfr_counts(spark: SparkSession, d: str, rounds: int = 5, k: int = 10) -> DataFrame:
     """After each round of bfr_rounds: clusters and points of the discard set and of the compressed set, and retained points."""
-    checkpoint_dir(spark)
     points, bfr = _points(spark, d).select("id", "v"), cluster.Bfr(k)
     for r in range(rounds):
         bfr.add(points.where(F.col("id") % rounds == r))

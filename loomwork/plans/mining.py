@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from ..operators import cluster, itemsets
 from ..operators import similarity as sim
 from ..operators.relational import top_k
-from ..scratch import checkpoint_dir
 from ..sources.tables import REVIEWS, reviews, table
 
 QUERIES: dict = {}
@@ -412,7 +411,6 @@ def nmi(rows: DataFrame, a: str, b: str) -> DataFrame:
 @query()
 def bfr_rounds(spark: SparkSession, d: str, rounds: int = 5, k: int = 10) -> DataFrame:
     """One-pass clustering over rounds of vectors by id."""
-    checkpoint_dir(spark)
     points, bfr = _points(spark, d).select("id", "v"), cluster.Bfr(k)
     for r in range(rounds):
         bfr.add(points.where(F.col("id") % rounds == r))
