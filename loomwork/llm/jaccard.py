@@ -40,12 +40,12 @@ from .components import components
 
 SHINGLE, PERCENT = 5, 75
 #: Bytes of text for each part of the hash range, least number of parts, and n-grams of a block.
-PART_BYTES, LEAST_PARTS, BLOCK = 16 << 20, 64, 1_000_000
+PART_BYTES, LEAST_PARTS, BLOCK = 16 << 20, 64, 300_000
 #: Classes that make an n-gram heavy, n-grams that a summary holds, and what a task must count of one to tell: so many, and a share (one in so many) of its
 #: classes. Of T n-grams in N classes and K tasks, one of HEAVY + T / SUMMARY + N / SHARE + FEW * K classes is found for certain.
 HEAVY, SUMMARY, FEW, SHARE = 4096, 1 << 18, 4, 1024
 #: Words that a worker keeps, rounds with leaders, longest list whose members meet in pairs, classes and n-grams of a matrix, salts of a component.
-KEPT_WORDS, ROUNDS, SHORT, SIDE, COLUMNS, SALTS = 200_000, 3, 48, 512, 4096, 16
+KEPT_WORDS, ROUNDS, SHORT, SIDE, COLUMNS, SALTS = 100_000, 3, 48, 512, 4096, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _known: dict[bytes, int] = {}
@@ -139,10 +139,12 @@ def heavy_ngrams(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.n
                     held, size = [], 0
         h, c = _summed(np.concatenate([h, *held]), np.concatenate((c, np.ones(size, dtype=np.int64))))
         keep = c >= max(FEW, len(seen) // SHARE)
+        h, c, held = h[keep], c[keep], []
+        seen.clear()
         _known.clear()
         trim()
-        for at in range(0, int(keep.sum()), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep][at : at + 10_000].astype(np.int64)) for x in (h, c)], ["h", "c"])
+        for at in range(0, len(h), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 10_000].astype(np.int64)) for x in (h, c)], ["h", "c"])
 
     summed = df.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     heavy = summed.where(F.col("c") >= HEAVY).orderBy(F.desc("c"), "h").limit(SUMMARY).toPandas()  # SUMMARY rows at most
