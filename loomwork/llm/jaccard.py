@@ -44,8 +44,9 @@ PART_BYTES, LEAST_PARTS, BLOCK = 16 << 20, 64, 300_000
 #: Classes that make an n-gram heavy, n-grams that a summary holds, and what a task must count of one to tell: so many, and a share (one in so many) of its
 #: classes. Of T n-grams in N classes and K tasks, one of HEAVY + T / SUMMARY + N / SHARE + FEW * K classes is found for certain.
 HEAVY, SUMMARY, FEW, SHARE = 4096, 1 << 18, 4, 1024
-#: Words that a worker keeps, rounds with leaders, longest list whose members meet in pairs, classes and n-grams of a matrix, salts of a component.
-KEPT_WORDS, ROUNDS, SHORT, SIDE, COLUMNS, SALTS = 100_000, 3, 48, 512, 4096, 16
+#: Words that a worker keeps, rounds with leaders, longest list whose members meet in pairs, classes and n-grams of a matrix, salts of a component,
+#: rows of open lists for which a round has a task that writes.
+KEPT_WORDS, ROUNDS, SHORT, SIDE, COLUMNS, SALTS, TASK_ROWS = 100_000, 3, 48, 512, 4096, 16, 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _known: dict[bytes, int] = {}
@@ -360,11 +361,11 @@ def _cell_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _long_lists(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _long_lists(rest: DataFrame, classes: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Links (a, b) between the components of each list in rest (h, key, n, c), found by blocks."""
     largest = rest.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "c")).alias("g"), F.sum("m").alias("all"))
     blocks = largest.select("h", F.col("g.c").alias("g"), F.ceil((F.col("all") - F.col("g.m")) / SIDE).cast("int").alias("ko"), F.ceil(F.col("g.m") / SIDE).cast("int").alias("kg"))
-    member = rest.join(written(blocks, "blocks"), "h").withColumn("out", F.col("c") != F.col("g"))
+    member = rest.join(written(blocks.coalesce(tasks), "blocks"), "h").withColumn("out", F.col("c") != F.col("g"))
     member = member.withColumn("block", F.when(F.col("out"), F.pmod(F.xxhash64("key"), F.col("ko"))).otherwise(F.col("ko") + F.pmod(F.xxhash64("key"), F.col("kg"))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("ko") + F.col("kg")).otherwise(F.col("ko")) - 1)).alias("o")
     cells = member.select("h", "key", "n", "c", "block", other).select("h", "key", "n", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
@@ -392,10 +393,12 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label, before = spark.createDataFrame([], "key long, component long"), None
     for turn in range(ROUNDS + 2):
         open_ = prefix.join(label, "key", "left").select("h", "key", "n", "d", F.coalesce("component", "key").alias("c"))
+        # sums over what little is left go to few tasks; of much, coalesce leaves all partitions as they are
+        tasks = max(spark.sparkContext.defaultParallelism, -(-prefix.count() // TASK_ROWS))
         leader = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("x"), "key", "n", "d", "c")).alias("l")
         lists = open_.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), leader).where("lo <> hi")
         # written, so that the join has two plain sides: Spark splits the list that a large share of all classes stands in
-        lists = written(lists.select("h", "m", "l"), "lists")
+        lists = written(lists.select("h", "m", "l").coalesce(tasks), "lists")
         if lists.isEmpty():
             discard(lists)
             break
@@ -409,11 +412,11 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             one, two = (rest.select("h", *(F.col(c).alias(f"{c}{s}") for c in ("key", "n", "d", "c"))) for s in ("1", "2"))
             met = one.join(two, "h").where("key1 < key2 and c1 <> c2").select(F.col("key1").alias("a"), F.col("n1").alias("na"), F.col("d1").alias("da"), F.col("key2").alias("b"), F.col("n2").alias("nb"), F.col("d2").alias("db"))
         if turn <= ROUNDS:
-            pairs = written(met.where(_fits(percent)).select("a", "na", "b", "nb").distinct(), "pairs")
-            new = written(_links(pairs, classes, percent), "links")
+            pairs = written(met.where(_fits(percent)).select("a", "na", "b", "nb").distinct().coalesce(tasks), "pairs")
+            new = written(_links(pairs, classes, percent).coalesce(tasks), "links")
             discard(pairs)
         else:
-            new = written(_long_lists(rest, classes, percent), "links")
+            new = written(_long_lists(rest, classes, percent, tasks), "links")
         last, label = label, components(label.select(F.col("key").alias("a"), F.col("component").alias("b")).unionByName(new))
         discard(last, new, before)
         before = held

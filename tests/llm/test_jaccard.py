@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from loomwork.llm import jaccard
+from loomwork.llm import components, jaccard
 
 from .brute import documents
 
@@ -98,3 +100,26 @@ def test_summary_finds_what_is_certain(monkeypatch):
     assert len(got) <= 20
     for x, n in ((1, 1200), (2, 750), (3, 450)):
         assert n - total / 21 <= got.get(x, 0) <= n
+
+
+@pytest.mark.parametrize("few", [None, 0])
+def test_components_of_few_and_many_links(spark, monkeypatch, few):
+    """The driver's way, which takes a bounded number of jobs, and the stars have the same labels."""
+    if few is not None:
+        monkeypatch.setattr(components, "FEW_LINKS", few)
+    rng = random.Random(3)
+    keys = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(120)]
+    chain = [(keys[i], keys[i + 1]) for i in range(40)]
+    links = [*chain, *((rng.choice(keys[50:]), rng.choice(keys[50:])) for _ in range(50)), (keys[45], keys[45])]
+    least = {x: x for p in links for x in p if p[0] != p[1]}
+    for _ in links:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"components-{few}", "")
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    jobs = len(tracker.getJobIdsForGroup(f"components-{few}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.key: r.component for r in got} == least and len(got) == len(least)
+    assert few == 0 or jobs <= 6
