@@ -16,6 +16,7 @@ import hashlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from loomwork.shipping import ship
 
 from .common import read, texts, trim
 
-#: Characters of text in a block, words whose ids a task keeps at most, and symbols in one replay.
-BLOCK_BYTES, KEPT_WORDS, SYMBOLS = 2_000_000, 350_000, 250_000
+#: Characters of text in a block, words whose ids a task keeps at most, those of them that a worker's next task still knows, and symbols in one replay.
+BLOCK_BYTES, KEPT_WORDS, LEFT_WORDS, SYMBOLS = 2_000_000, 350_000, 50_000, 250_000
 
 
 class Vocabulary:
@@ -138,6 +139,10 @@ class Vocabulary:
                 some, size = [], 0
         self._replayed(some)
 
+    def forget(self) -> None:
+        """Keep the words met first, among them most of the frequent ones."""
+        self.known = dict(islice(self.known.items(), LEFT_WORDS))
+
     def _replayed(self, some: list[tuple[str, bytes]]) -> None:
         if some:
             self.known.update(zip((w for w, _ in some), self.replay([raw for _, raw in some]), strict=True))
@@ -207,7 +212,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             if keep_ids:
                 columns += [pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
-        own.known.clear()
+        own.forget()
         trim()
 
     return source.mapInArrow(run, schema)

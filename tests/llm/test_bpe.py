@@ -45,3 +45,15 @@ def test_frame(spark):
     assert sorted(((r.doc_id is None, r.doc_id, bytes(r.ids).hex(), r.decoded_sha256) for r in got.collect()), key=str) == want
     assert all(r.n_tokens * 4 == len(r.ids) and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() for r in got.collect())
     assert encode_decode(df.limit(0), PATH).count() == 0
+
+
+def test_next_task_knows_frequent_words(monkeypatch):
+    """What a task leaves to the next one is bounded, is not replayed again, and gives the same ids."""
+    monkeypatch.setattr("loomwork.llm.bpe.LEFT_WORDS", 3)
+    own = Vocabulary(PATH)
+    assert own.encode(["zqxjv"]) == [ids("zqxjv")]
+    own.encode(["wkfpz qqzzx xvvkq jjwqz"])
+    own.forget()
+    assert len(own.known) == 3
+    monkeypatch.setattr(own, "replay", None)
+    assert own.encode(["zqxjv"]) == [ids("zqxjv")]
