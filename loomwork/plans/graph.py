@@ -25,8 +25,8 @@ def query(sql: str | None = None):
 
 def _edges(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """Each supplier with the k suppliers it shares most orders with, in both directions."""
-    p = supplier_pairs(spark, d)
-    both = p.select(F.col("a").alias("src"), F.col("b").alias("dst"), "n").unionByName(p.select(F.col("b").alias("src"), F.col("a").alias("dst"), "n"))
+    turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")
+    both = supplier_pairs(spark, d).select(turned, "n").select(F.col("p.a").alias("src"), F.col("p.b").alias("dst"), "n")
     return ops.undirected(top_k(both, ["src"], [F.desc("n"), F.col("dst")], k))
 
 
