@@ -14,16 +14,27 @@ def baskets(df: DataFrame, key: str, item: str, more_than: int = 0) -> DataFrame
     return sets.where(F.size("items") > more_than)
 
 
-def _least(rows: DataFrame, share: float | None, support: int | None) -> DataFrame:
+def grouped(rows: DataFrame) -> DataFrame:
+    """(id, items, m, void): the different sets of items of rows (key, item) and how many keys have each, written. What all keys would be asked is asked of these.
+    The rows without a key are a set of their own, which is void: its items count, its keys and pairs do not."""
+    sets = rows.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("item")))["item"].alias("items"))
+    return written(sets.groupBy("items", F.col("key").isNull().alias("void")).agg(F.count(F.lit(1)).alias("m")).withColumn("id", F.monotonically_increasing_id()), "sets")
+
+
+def _total(sets: DataFrame) -> DataFrame:
+    return sets.agg(F.coalesce(F.sum(F.when(~F.col("void"), F.col("m"))), F.lit(0)).alias("total"))
+
+
+def least_count(sets: DataFrame, share: float | None, support: int | None = None) -> DataFrame:
     """One row (least): the count that a frequent set needs."""
     if share is None:
-        return rows.sparkSession.range(1).select(F.lit(support).alias("least"))
-    return rows.agg((F.count_distinct("key") * share).alias("least"))
+        return sets.sparkSession.range(1).select(F.lit(support).alias("least"))
+    return _total(sets).select((F.col("total") * share).alias("least"))
 
 
 def _kept(found: DataFrame, least: DataFrame) -> DataFrame:
-    """(items, n) of found (key, items) rows that are enough. Counts are partial before the shuffle."""
-    counts = found.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    """(items, n) of found (items, m) rows that are enough. Counts are partial before the shuffle."""
+    counts = found.groupBy("items").agg(F.sum("m").alias("n"))
     return counts.crossJoin(F.broadcast(least)).where(F.col("n") >= F.col("least")).select("items", "n")
 
 
@@ -42,25 +53,30 @@ def candidates(level: DataFrame, size: int) -> DataFrame:
 
 def apriori(rows: DataFrame, share: float | None = None, support: int | None = None, most: int | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
     """Of distinct rows (key, item), the frequent itemsets (items, n) of each size from 1, up to size most or till none is left, and
-    the candidates (items) of each size.
+    the candidates (items) of each size."""
+    return of_sets(grouped(rows), share, support, most)
+
+
+def of_sets(sets: DataFrame, share: float | None = None, support: int | None = None, most: int | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """As apriori, of sets as grouped makes them. Rows are read once to make those, and equal baskets are one from then on.
 
-    A basket is never unfolded into subsets. What a basket holds of one size, rows (key, items), meets the candidates by all
+    A basket is never unfolded into subsets. What a basket holds of one size, rows (id, items), meets the candidates by all
     items but the last, and the candidate's last item is looked up in the basket; only candidates that stand in a basket are rows.
     Each size is written in the shared folder, as the next one reads it three times."""
-    least = written(_least(rows, share, support), "least")
-    single = rows.select("key", F.array("item").alias("items"))
-    levels, tried = [written(_kept(single, least), "level")], [rows.select(F.array("item").alias("items")).distinct()]
-    inside = rows.join(levels[0].select(F.col("items")[0].alias("item")), "item", "left_semi").select("key", "item")
-    held, size, tables = inside.select("key", F.array("item").alias("items")), 1, []
+    least = written(least_count(sets, share, support), "least")
+    each = sets.select("id", F.explode("items").alias("item"), "m", "void")
+    levels, tried = [written(_kept(each.select(F.array("item").alias("items"), "m"), least), "level")], [each.select(F.array("item").alias("items")).distinct()]
+    inside = each.where("NOT void").join(levels[0].select(F.col("items")[0].alias("item")), "item", "left_semi").select("id", "item", "m")
+    held, size, tables = inside.select("id", F.array("item").alias("items")), 1, []
     while (most is None or size < most) and not levels[-1].isEmpty():
         size += 1
         asked = written(candidates(levels[-1], size), "candidates")
         by_prefix = asked.select(F.slice("items", 1, size - 1).alias("items"), F.element_at("items", -1).alias("item"))
-        grown = held.join(by_prefix, "items").join(inside, ["key", "item"]).select("key", F.concat("items", F.array("item")).alias("items"))
+        grown = held.join(by_prefix, "items").join(inside, ["id", "item"]).select("id", F.concat("items", F.array("item")).alias("items"), "m")
         grown = written(grown, "held")
         levels.append(written(_kept(grown, least), "level"))
         tried.append(asked)
-        held = grown.join(levels[-1].select("items"), "items", "left_semi").select("key", "items")
+        held = grown.join(levels[-1].select("items"), "items", "left_semi").select("id", "items")
         tables.append(grown)
         discard(*tables[:-1])
         tables = tables[-1:]
@@ -79,17 +95,18 @@ def frequent(sets: DataFrame, share: float | None = None, support: int | None =
     return levels[size - 1] if len(levels) >= size else levels[-1].limit(0)
 
 
-def counted(rows: DataFrame, wanted: list[DataFrame]) -> list[DataFrame]:
-    """(items, n) of wanted sets (items) of sizes 1, 2, ... in distinct rows (key, item). Every set's items but the last are wanted one size before."""
+def counted(sets: DataFrame, wanted: list[DataFrame]) -> list[DataFrame]:
+    """(items, n) of wanted sets (items) of sizes 1, 2, ... in sets as grouped makes them. Every set's items but the last are wanted one size before."""
+    rows = sets.select("id", F.explode("items").alias("item"), "m", "void")
     held, out = None, []
     for size, asked in enumerate(wanted, 1):
         if size == 1:
-            held = rows.join(asked.select(F.col("items")[0].alias("item")), "item", "left_semi").select("key", F.array("item").alias("items"))
+            held = rows.join(asked.select(F.col("items")[0].alias("item")), "item", "left_semi").select("id", F.array("item").alias("items"), "m", "void")
         else:
             by_prefix = asked.select(F.slice("items", 1, size - 1).alias("items"), F.element_at("items", -1).alias("item"))
-            held = held.join(by_prefix, "items").join(rows, ["key", "item"]).select("key", F.concat("items", F.array("item")).alias("items"))
+            held = held.where("NOT void").select("id", "items").join(by_prefix, "items").join(rows, ["id", "item"]).select("id", F.concat("items", F.array("item")).alias("items"), "m", "void")
         held = written(held, "held")
-        out.append(held.groupBy("items").agg(F.count(F.lit(1)).alias("n")))
+        out.append(held.groupBy("items").agg(F.sum("m").alias("n")))
     return out
 
 

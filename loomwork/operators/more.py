@@ -7,7 +7,8 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .itemsets import apriori, counted, unfolded
+from ..scratch import kept
+from .itemsets import apriori, counted, grouped, least_count, unfolded
 
 
 def toivonen(sets: DataFrame, share: float, size: int, fraction: float = 0.3, slack: float = 0.8, seed: int = 1) -> tuple[DataFrame, bool]:
@@ -16,13 +17,14 @@ def toivonen(sets: DataFrame, share: float, size: int, fraction: float = 0.3, sl
     Candidates of every size up to this one are the sets frequent in a sample of the baskets at a lower share, and their negative border:
     sets that are not, though all their parts of one item less are. All are counted in all baskets; if one of the border is
     frequent, sets above it may be missing."""
-    rows = unfolded(sets).distinct()
+    rows = kept(unfolded(sets), "rows")
     draw = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000))
+    every = grouped(rows)
     levels, tried = apriori(rows.where(draw < int(fraction * 1_000_000)), share * slack, None, size)
-    tried[0] = rows.select(F.array("item").alias("items")).distinct()  # an item that the sample lacks is of the border too
-    least = rows.agg((F.count_distinct("key") * share).alias("least"))
+    tried[0] = every.select(F.explode("items").alias("item")).distinct().select(F.array("item").alias("items"))  # an item that the sample lacks is of the border too
+    least = least_count(every, share)
     certain, last = True, None
-    for low, n in zip(levels, counted(rows, tried), strict=True):
+    for low, n in zip(levels, counted(every, tried), strict=True):
         enough = n.crossJoin(F.broadcast(least)).where(F.col("n") >= F.col("least")).select("items", "n")
         certain = certain and enough.join(low.select("items"), "items", "left_anti").isEmpty()
         last = enough.join(low.select("items"), "items", "left_semi")
@@ -31,6 +33,7 @@ def toivonen(sets: DataFrame, share: float, size: int, fraction: float = 0.3, sl
 
 def toivonen_exact(sets: DataFrame, share: float, size: int, fraction: float = 0.3, slack: float = 0.8) -> DataFrame:
     """Itemsets of this size, certain to be all: where a sample leaves doubt, another one is drawn at a lower share, at last all baskets."""
+    sets = kept(sets, "sets")
     for turn in range(1, 5):
         got, certain = toivonen(sets, share, size, fraction, slack, turn)
         if certain:

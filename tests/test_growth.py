@@ -1,7 +1,7 @@
 """What is shuffled and read must not grow faster than the input: pairs, itemsets, counts of words."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from contextlib import contextmanager
 from itertools import combinations
 
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.catalog import QUERIES
-from loomwork.operators import similarity
+from loomwork.operators import itemsets, similarity
 from loomwork.plans import graph as graph_plans
 
 D = "/root/testdata/sf0.001"
@@ -98,3 +98,18 @@ def test_orders_of_suppliers_are_paired_once(spark):
         edges = graph_plans._edges(spark, D).count()
     lines = spark.read.parquet(f"{D}/lineitem.parquet").count()
     assert edges and seen["shuffled"] < 4 * lines
+
+
+def test_equal_baskets_are_one(spark, monkeypatch):
+    written, sizes = itemsets.written, Counter()
+    monkeypatch.setattr(itemsets, "written", lambda df, name: (out := written(df, name), sizes.update({name: out.count()}))[0])
+    rows = spark.range(5000).select((F.col("id") / 5).cast("int").alias("key"), (F.col("id") % 5).cast("int").alias("item"))
+    levels, tried = itemsets.apriori(rows, 0.5)
+    assert [x.count() for x in levels] == [5, 10, 10, 5, 1, 0] and {r.n for x in levels for r in x.collect()} == {1000}
+    assert sizes["held"] < 100
+
+
+def test_rows_without_a_key_or_item(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (None, "a"), (None, "b"), (3, None), (4, None)], "key int, item string")
+    levels, _ = itemsets.apriori(rows, 0.5)
+    assert [{(tuple(r["items"]), r.n) for r in x.collect()} for x in levels] == [{(("a",), 3), (("b",), 3), ((None,), 2)}, {(("a", "b"), 2)}, set()]
