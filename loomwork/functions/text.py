@@ -34,8 +34,8 @@ def words_b(text: Column) -> Column:
 
 
 def words_az(text: Column) -> Column:
-    """Runs of a-z in the lower-case text."""
-    return _words(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z]+", " "))
+    """Runs of a-z in the lower-case text: one pass of a pattern, after which the text is letters and single spaces."""
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z]+", " ")), " "), "")
 
 
 def words_joined(text: Column) -> Column:

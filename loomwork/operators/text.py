@@ -9,13 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import HEX, word_bits
+from ..scratch import written
 from ..shipping import ship
 from .relational import top_k
 
 
-def term_counts(df: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, word, f): partial counts before the shuffle."""
-    return df.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("f"))
+#: Characters of the texts that a task gets; words of queries in documents.
+CHARS, WANTED = 1 << 23, 1 << 18
+
+
+def dealt(docs: DataFrame, by: str) -> DataFrame:
+    """docs (by, text, ...) dealt out by a column to tasks of about CHARS characters. Counts by that column and others then need no shuffle: the texts go
+    over the network once, not each of their words with its key. Few texts stay as they are."""
+    n = (docs.agg(F.sum(F.length("text")).alias("n")).head().n or 0) // CHARS
+    return docs.repartition(n, by) if n > 4 else docs
+
+
+def term_counts(df: DataFrame, key: str, words: Column, *also: str) -> DataFrame:
+    """(also, key, word, f): partial counts before the shuffle, and no shuffle of words where df is dealt out by key or one of also, which key decides."""
+    return df.select(*also, key, F.explode(words).alias("word")).groupBy(*also, key, "word").agg(F.count(F.lit(1)).alias("f"))
 
 
 def postings(counts: DataFrame, key: str) -> DataFrame:
@@ -48,10 +60,13 @@ def search(queries: DataFrame, docs: DataFrame, words: Column, k: int = 10) -> D
     queries: (item_id, word), distinct. Only tokens that a query has are counted and shuffled."""
     tokens = docs.select("doc_id", F.explode(words).alias("word")).join(queries.select("word").distinct(), "word", "left_semi")
     wanted = tokens.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("f"))
+    wanted = written(wanted, "wanted")
     n_docs = docs.agg(F.count(F.lit(1)).alias("docs"))
     df = wanted.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    weighed = wanted.join(df, "word").crossJoin(F.broadcast(n_docs)).select("word", "doc_id", ((1 + F.log("f")) * F.log2(F.col("docs") / F.col("df"))).alias("w"))
-    scored = queries.join(weighed, "word").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    # The words of the queries are few. Dealt out by document, what a document scores is summed where its words are.
+    mine = wanted.repartition(max(1, wanted.count() // WANTED), "doc_id")
+    weighed = mine.join(F.broadcast(df), "word").crossJoin(F.broadcast(n_docs)).select("word", "doc_id", ((1 + F.log("f")) * F.log2(F.col("docs") / F.col("df"))).alias("w"))
+    scored = weighed.join(F.broadcast(queries), "word").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_k(scored, ["item_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
@@ -134,9 +149,10 @@ def one_letter_apart(words: DataFrame) -> DataFrame:
 
 
 def posting_segments(counts: DataFrame, key: str, width: int) -> DataFrame:
-    """(word, segment, postings): as postings, cut by ranges of width keys (numbers), so that no row holds more than width of them."""
+    """(word, segment, postings): as postings, cut by ranges of width keys (numbers), so that no row holds more than width of them. Counts may bring the segment."""
     one = F.struct(F.col(key).alias("k"), "f")
-    listed = counts.groupBy("word", F.floor(F.col(key) / width).alias("segment")).agg(F.array_sort(F.collect_list(one)).alias("l"))
+    segment = F.col("segment") if "segment" in counts.columns else F.floor(F.col(key) / width).alias("segment")
+    listed = counts.groupBy("word", segment).agg(F.sort_array(F.collect_list(one)).alias("l"))
     return listed.select("word", "segment", F.array_join(F.transform("l", lambda p: F.concat_ws(":", p.k.cast("string"), p.f.cast("string"))), " ").alias("postings"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwork.catalog import QUERIES
 from loomwork.operators import itemsets, similarity
+from loomwork.operators import text as ops
 from loomwork.plans import graph as graph_plans
 
 D = "/root/testdata/sf0.001"
@@ -113,3 +114,29 @@ def test_rows_without_a_key_or_item(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (None, "a"), (None, "b"), (3, None), (4, None)], "key int, item string")
     levels, _ = itemsets.apriori(rows, 0.5)
     assert [{(tuple(r["items"]), r.n) for r in x.collect()} for x in levels] == [{(("a",), 3), (("b",), 3), ((None,), 2)}, {(("a", "b"), 2)}, set()]
+
+
+@pytest.mark.parametrize("name", ["bigram_index", "inverted_index", "posting_segments"])
+def test_no_row_for_a_word_is_shuffled(spark, monkeypatch, name):
+    monkeypatch.setattr(ops, "CHARS", 4096)
+    want = QUERIES[name](spark, D)
+    want = sorted(map(tuple, want.collect()))
+    docs = spark.read.parquet(f"{D}/documents.parquet").count()
+    with measured(spark) as seen:
+        got = sorted(map(tuple, QUERIES[name](spark, D).collect()))
+    assert got == want and seen["shuffled"] <= docs + 100
+
+
+def test_texts_are_read_once_for_transitions(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").count()
+    with measured(spark) as seen:
+        assert QUERIES["hmm_transition"](spark, D).count()
+    assert seen["read"] <= docs + 100
+
+
+def test_scores_are_summed_where_words_are(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a b c d e f g h").alias("text"))
+    queries = spark.createDataFrame([(q, w) for q in range(50) for w in "abcdefgh"], "item_id int, word string")
+    with measured(spark) as seen:
+        assert ops.search(queries, docs, F.split("text", " ")).count() == 500
+    assert seen["shuffled"] < 200 * 8 * 4
