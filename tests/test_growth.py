@@ -60,6 +60,14 @@ def test_pairs_of_any_division(spark, monkeypatch, pairs, long, ranges, far, kin
     assert {(r.a, r.b): (r.n, r.x, r.y) for r in got} == brute(rows)
 
 
+def test_largest_keys_have_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PAIRS", 1)
+    last = (1 << 56) - 1
+    rows = [(k, i, 1.0) for i in range(1100) for k in (0, last - 1, last)]
+    got = similarity.paired(spark.createDataFrame(rows, "k long, i int, v double"), "k", "i", [], [F.count(F.lit(1)).alias("n")]).collect()
+    assert {(r.a, r.b): r.n for r in got} == {(0, last - 1): 1100, (0, last): 1100, (last - 1, last): 1100}
+
+
 def test_pairs_of_nothing(spark):
     none = spark.createDataFrame([], "k long, i long")
     assert similarity.overlaps(none, "k", "i").collect() == [] and similarity.paired(none, "k", "i", [], []).collect() == []
